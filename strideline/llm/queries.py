@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
+from .decontamination import OP1_SQL, op1_decontamination
+from .simhash import op8_simhash
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op8_simhash": op8_simhash,
+}
+ORACLES = {
+    "op1_decontamination": OP1_SQL,
+}
