@@ -5,9 +5,11 @@ from __future__ import annotations
 from .byte_bpe import op4_byte_bpe
 from .decontamination import OP1_SQL, op1_decontamination
 from .simhash import op8_simhash
+from .sketches import op3_sketches
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_sketches": op3_sketches,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_simhash": op8_simhash,
 }
