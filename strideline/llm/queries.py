@@ -6,13 +6,16 @@ from .byte_bpe import op4_byte_bpe
 from .decontamination import OP1_SQL, op1_decontamination
 from .simhash import op8_simhash
 from .sketches import op3_sketches
+from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_sketches": op3_sketches,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_warc": op6_warc,
     "op8_simhash": op8_simhash,
 }
 ORACLES = {
     "op1_decontamination": OP1_SQL,
+    "op6_warc": OP6_SQL,
 }
