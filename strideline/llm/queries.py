@@ -6,6 +6,7 @@ from .byte_bpe import op4_byte_bpe
 from .decontamination import OP1_SQL, op1_decontamination
 from .simhash import op8_simhash
 from .sketches import op3_sketches
+from .token_store import op9_token_store
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_warc": op6_warc,
     "op8_simhash": op8_simhash,
+    "op9_token_store": op9_token_store,
 }
 ORACLES = {
     "op1_decontamination": OP1_SQL,
