@@ -43,7 +43,7 @@ def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
 from .decontamination import OP1_SQL, op1_decontamination
+from .katz import op2_katz
 from .language import op5_language
 from .quality import op10_quality
 from .simhash import op8_simhash
@@ -13,6 +14,7 @@ from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_katz": op2_katz,
     "op3_sketches": op3_sketches,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language": op5_language,
