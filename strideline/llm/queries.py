@@ -7,6 +7,7 @@ from .decontamination import OP1_SQL, op1_decontamination
 from .katz import op2_katz
 from .language import op5_language
 from .quality import op10_quality
+from .secrets import op7_secrets
 from .simhash import op8_simhash
 from .sketches import op3_sketches
 from .token_store import op9_token_store
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language": op5_language,
     "op6_warc": op6_warc,
+    "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
     "op9_token_store": op9_token_store,
     "op10_quality": op10_quality,
