@@ -2,7 +2,7 @@
 
 Whole texts are encoded with the tokenizers library. A rolling hash over the last ids cuts each document's id stream into
 chunks wherever its low bits are zero, so equal passages give equal chunks. Each unique chunk is stored once, under the
-BLAKE2b digest of its ids as little-endian unsigned 32-bit integers. A document's recipe is the list of its chunks'
+BLAKE2b digest of its ids as little-endian unsigned integers: of 16 bits where the tokenizer has at most 65,536 ids, else of 32. A document's recipe is the list of its chunks'
 digests; their Merkle root verifies it. The manifest holds the recipes in ascending order of document ids.
 
 Encoding looks up pre-tokens: the pattern that splits text is evaluated over whole batches of code points, each distinct
@@ -203,6 +203,11 @@ def joined_crc(a: int, b: int, size: int) -> int:
     return _times(_shift(size), a) ^ b
 
 
+def width(tokenizer: Tokenizer, end_id: int | None = None) -> np.dtype:
+    """The type of stored ids."""
+    return np.dtype("<u2" if max(tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4")
+
+
 CHUNK_SCHEMA = "digest binary, doc_id long, n long, data binary"
 
 
@@ -215,7 +220,8 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int |
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    tables = spark.sparkContext.broadcast(classes(load(tokenizer_file)))
+    tokenizer = load(tokenizer_file)
+    tables, kind = spark.sparkContext.broadcast(classes(tokenizer)), width(tokenizer, end_id)
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = _encoder(tokenizer_file, tables.value), set()
@@ -225,12 +231,12 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int |
                 if end_id is not None:
                     ids = np.insert(ids, first[1:], end_id)
                     first = first + np.arange(len(first))
-                data, edge = ids.astype("<u4").tobytes(), cuts(ids, first).tolist()
+                data, edge = ids.astype(kind).tobytes(), cuts(ids, first).tolist()
                 rows, at, k, names = [], 0, 0, part.column(0).to_pylist()
                 for doc, end in zip(names, first[1:].tolist(), strict=True):
                     leaves, size = [], end - at
                     while at < end:
-                        piece = data[4 * at : 4 * edge[k]]
+                        piece = data[kind.itemsize * at : kind.itemsize * edge[k]]
                         key = digest(piece)
                         leaves.append(key)
                         if key not in seen:
@@ -280,8 +286,13 @@ def _explode(manifest: DataFrame) -> DataFrame:
     return manifest.where("length(leaves) > 0").select("start", F.posexplode(F.transform(places, lambda i: F.substring("leaves", i * 20 + F.lit(1), F.lit(20)))).alias("at", "digest"))
 
 
+def _ids(data: bytes, n: int) -> np.ndarray:
+    """Ids of a chunk of n of them."""
+    return np.frombuffer(data, f"<u{len(data) // n}")
+
+
 def read_back(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of all documents, from the stored chunks.
+    """doc_id, start, n_tokens, ids_crc32 (of 32-bit ids) of all documents, from the stored chunks.
 
     Every chunk is read once, hashed anew and checked against its digest; each document's root is computed from what was
     read, and an error raised where it differs. The CRC of a document is joined from those of its chunks, so that chunks
@@ -290,13 +301,14 @@ def read_back(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column(1).to_pylist()
+            data, sizes = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             if [digest(x) for x in data] != batch.column(0).to_pylist():
                 raise ValueError("a chunk differs from its digest")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in data], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64())], names=["digest", "size", "crc"])
+            crcs = [zlib.crc32(_ids(x, n).astype("<u4").tobytes()) for x, n in zip(data, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], names=["digest", "size", "crc"])
 
     # Written, so that the join deals both sides anew and Spark can split the rows of a chunk that is everywhere.
-    sums = saved(chunks.select("digest", "data").mapInArrow(hashed, "digest binary, size long, crc long"), "chunk-sums")
+    sums = saved(chunks.select("digest", "n", "data").mapInArrow(hashed, "digest binary, size long, crc long"), "chunk-sums")
     found = _explode(manifest).join(sums, "digest", "left").groupBy("start").agg(F.collect_list(F.struct("at", "digest", "size", "crc")).alias("parts"))
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,11 +332,11 @@ def read_back(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def documents(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """doc_id, start and ids (array) of all documents of the manifest, put together from their chunks."""
-    pieces = _explode(manifest).join(chunks.select("digest", "data"), "digest").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("parts"))
+    pieces = _explode(manifest).join(chunks, "digest").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "n", "data"))).alias("parts"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["data"] for x in row), "<u4").tolist() if row else [] for row in batch.column(2).to_pylist()]
+            ids = [np.concatenate([_ids(x["data"], x["n"]) for x in row]).tolist() if row else [] for row in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
     return manifest.select("doc_id", "start").join(pieces, "start", "left").select("doc_id", "start", "parts").mapInArrow(whole, "doc_id long, start long, ids array<long>")
