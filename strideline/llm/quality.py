@@ -80,7 +80,8 @@ def contexts(docs: DataFrame, text: str = "text") -> np.ndarray:
     table[np.asarray(found.column(0))] = np.stack([np.asarray(found.column(i + 1)) for i in range(DIMENSIONS)], 1)
     table = np.sign(table) * np.log1p(np.abs(table))
     used = table.any(1)
-    table[used] -= table[used].mean(0)
+    if used.any():
+        table[used] -= table[used].mean(0)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9) * used[:, None]).astype(np.float32)
 
 
