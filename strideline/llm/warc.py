@@ -204,7 +204,9 @@ def read_archive(index: DataFrame, folder: str, group: int = 64) -> DataFrame:
                     raise ValueError(f"{row['bundle']} has {len(out)} records where the index has {row['n']}")
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
 
-    return frames.select("bundle", "a", "b", "n").mapInArrow(run, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    # Few small rows stand for much reading: dealt to as many tasks as a shuffle has, which adaptive execution leaves so.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frames.select("bundle", "a", "b", "n").repartition(tasks, "bundle", "a").mapInArrow(run, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
