@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, byte_lengths, crc_text, lower_table, mixed, read, saved, slices, span_hashes, utf8, words
 
-VOCABULARY, BUCKET_TOKENS, HOT_SHARE = 1 << 20, 2_000_000, 1000
+VOCABULARY, BUCKET_TOKENS, HOT_SHARE = 1 << 20, 1_000_000, 1000
 #: Counts up to here are discounted.
 DISCOUNTED = 5
 END = 0  #: the hash of the empty word, which no word has
