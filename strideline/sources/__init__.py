@@ -1 +1,27 @@
+"""Readers and writers of samples and bouts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import binary, store, text
+
+READERS = {
+    "actigraph": text.read_actigraph, "actiheart": text.read_actiheart, "activpal_csv": text.read_activpal_csv, "datx": binary.read_datx, "geneactiv_csv": text.read_geneactiv_csv, "geneactiv": binary.read_geneactiv,
+    "gt3x_csv": text.read_gt3x_csv, "gt3x_zip": binary.read_gt3x_zip, "csv": text.read_csv, "axivity": binary.read_axivity, "axivity_zip": binary.read_axivity_zip, "xlo": text.read_xlo, "parquet": store.read_samples,
+}
+
+
+def load(spark: SparkSession, path: str, kind: str = "infer", **options) -> DataFrame:
+    """Samples of the files at a path; their kind is inferred from the extension unless given."""
+    kind = binary.kind_of(path) if kind == "infer" else kind
+    if kind not in READERS:
+        raise ValueError(f"unknown kind of file: {kind}")
+    return READERS[kind](spark, path, **options)
+
+
+def header(samples: DataFrame) -> DataFrame:
+    """One row a subject: channels, samples, first and last timestamp."""
+    from pyspark.sql import functions as F
+
+    return samples.groupBy("subject_id").agg(F.count_distinct("channel").alias("channels"), F.count("*").alias("samples"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
