@@ -118,3 +118,15 @@ def test_page_times_are_spread_evenly():
     got = binary.spaced(np.array([0.0, 1000.0]), np.array([0, 4]), 6, 250)
     assert got.tolist() == [0, 250, 500, 750, 1000, 1250]
     assert binary.axivity_time(0) is None
+
+
+def test_pages_and_offsets(spark):
+    from strideline.sources import clock
+
+    start = datetime(2000, 1, 1)
+    at = [*range(0, 1000, 100), 999]
+    pages = spark.createDataFrame([("s", i, start + timedelta(milliseconds=10 * i)) for i in at], "subject_id string, i int, ts timestamp_ntz")
+    got = clock.from_pages(pages, 100.0, 1005).orderBy("i").collect()
+    assert [(r.i, r.ts) for r in got] == [(i, start + timedelta(milliseconds=10 * i)) for i in range(1005)]
+    row = pages.select(clock.to_offsets(F.lit(start), F.col("ts")).alias("ms"), "ts").withColumn("back", clock.from_offsets(F.lit(start), F.col("ms")))
+    assert row.where("back <> ts").count() == 0 and row.agg(F.max("ms")).first()[0] == 9990
