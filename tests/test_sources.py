@@ -130,3 +130,17 @@ def test_pages_and_offsets(spark):
     assert [(r.i, r.ts) for r in got] == [(i, start + timedelta(milliseconds=10 * i)) for i in range(1005)]
     row = pages.select(clock.to_offsets(F.lit(start), F.col("ts")).alias("ms"), "ts").withColumn("back", clock.from_offsets(F.lit(start), F.col("ms")))
     assert row.where("back <> ts").count() == 0 and row.agg(F.max("ms")).first()[0] == 9990
+
+
+def test_envelopes_and_tones(spark):
+    import io
+    import wave
+
+    from strideline.sources import media
+
+    rows = [("s", "a", START + timedelta(seconds=i), float(i), False) for i in range(100)]
+    samples = spark.createDataFrame(rows, "subject_id string, channel string, ts timestamp_ntz, value double, missing boolean")
+    got = media.envelope(samples, 10).orderBy("ts").collect()
+    assert len(got) == 10 and (got[0].low, got[-1].high) == (0, 99) and sum(r.mean for r in got) / 10 == pytest.approx(49.5, abs=0.5)
+    with wave.open(io.BytesIO(media.tone(np.arange(5)))) as file:
+        assert file.getnframes() == 5 * 441
