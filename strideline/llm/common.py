@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that a Python worker handles at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows that Spark puts into one Arrow batch at most; very long rows make batches large.
 BATCH_ROWS = 2048
 
@@ -84,8 +84,8 @@ def byte_lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
 
 
-def with_columns(docs: DataFrame, added: dict[str, tuple[T.DataType, pa.DataType]], fn: Callable[[], Callable[[pa.RecordBatch], list]], source: str = "text") -> DataFrame:
-    """docs with new columns that fn's function makes from slices of a batch, row for row.
+def with_columns(docs: DataFrame, added: dict[str, tuple[T.DataType, pa.DataType]], fn: Callable[[], Callable[[pa.RecordBatch], list]], source: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
+    """docs with new columns that fn's function makes from slices of a batch of at most limit bytes, row for row.
 
     fn runs once in each task, so it may build tables. Columns of docs with the new names are replaced.
     """
@@ -97,7 +97,7 @@ def with_columns(docs: DataFrame, added: dict[str, tuple[T.DataType, pa.DataType
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = fn()
         for batch in batches:
-            for part in slices(batch, byte_lengths(batch.column(batch.schema.get_field_index(source)))):
+            for part in slices(batch, byte_lengths(batch.column(batch.schema.get_field_index(source))), limit):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(make(part), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *added])
 
@@ -127,13 +127,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes that span_hashes sums up at once; its table of powers has 16 bytes for each.
+HASH_BYTES = 1 << 20
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes have equal hashes wherever they are."""
-    n = 1 << max(10, int(len(data)).bit_length())
-    up, down = _powers(n) if n <= 1 << 24 else _powers.__wrapped__(n)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of sorted byte spans that don't overlap; equal bytes have equal hashes wherever they are."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + HASH_BYTES, "right")))
+        size = int(ends[to - 1] - base)
+        up, down = _powers(HASH_BYTES) if size <= HASH_BYTES else _powers.__wrapped__(size)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(_byte_values()[data[base : base + size]] * up[:size], out=total[1:])
+        a, b = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
 
 @cache

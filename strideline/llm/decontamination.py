@@ -24,6 +24,8 @@ from .common import lower_table, read, span_hashes, utf8, with_columns, words
 
 #: Consecutive words of an item that make a window, and words of items in one broadcast.
 WINDOW, BLOCK_WORDS = 10, 1_000_000
+#: Bytes of documents in a shard.
+SHARD_BYTES = 4 << 20
 #: Benchmark suffixes that are searched at once.
 SEARCH_ROWS = 4096
 
@@ -177,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     for k, block in enumerate(blocks(benchmark)):
         sent, name = docs.sparkSession.sparkContext.broadcast(block), f"__matches_{k}"
         parts.append(name)
-        docs = with_columns(docs, {"n_words": (T.LongType(), pa.int64()), name: (MATCH, ARROW_MATCH)}, _searcher(sent, window, text), text)
+        docs = with_columns(docs, {"n_words": (T.LongType(), pa.int64()), name: (MATCH, ARROW_MATCH)}, _searcher(sent, window, text), text, SHARD_BYTES)
     if not parts:
         docs = with_columns(docs, {"n_words": (T.LongType(), pa.int64())}, _counter(text), text)
     matches = F.concat(*parts) if parts else F.array().cast(MATCH)

@@ -143,7 +143,7 @@ def against_next(docs: DataFrame, k: int = SIZE) -> DataFrame:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 held.append(row)
                 size += len(row[1])
-                if size > CHUNK_BYTES // 2 and len(held) > 1:
+                if size > CHUNK_BYTES and len(held) > 1:
                     yield from made(held)
                     held, size = held[-1:], len(held[-1][1])
         if held:

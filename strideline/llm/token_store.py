@@ -226,7 +226,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int |
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = _encoder(tokenizer_file, tables.value), set()
         for batch in batches:
-            for part in slices(batch, byte_lengths(batch.column(1)), 2 << 20):
+            for part in slices(batch, byte_lengths(batch.column(1))):
                 ids, first = encode(pc.fill_null(part.column(1), "").to_pylist())
                 if end_id is not None:
                     ids = np.insert(ids, first[1:], end_id)
