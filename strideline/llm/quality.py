@@ -63,12 +63,15 @@ def contexts(docs: DataFrame, text: str = "text") -> np.ndarray:
             for part in slices(batch, byte_lengths(batch.column(0))):
                 at, first = tokens(part.column(0))
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                for d in range(1, REACH + 1):
-                    same = row[d:] == row[:-d] if d < len(row) else np.zeros(0, bool)
-                    a, b = at[: len(same)][same], at[d : d + len(same)][same]
+                bins, signs = [], []
+                for d in range(1, min(REACH, len(row) - 1) + 1):
+                    same = row[d:] == row[:-d]
+                    a, b = at[:-d][same], at[d:][same]
                     for x, y in ((a, b), (b, a)):
-                        for k in range(NONZERO):
-                            total += np.bincount(x * DIMENSIONS + place[y, k], sign[y, k], BUCKETS * DIMENSIONS)
+                        bins.append((x[:, None] * DIMENSIONS + place[y]).ravel())
+                        signs.append(sign[y].ravel())
+                if bins:
+                    total += np.bincount(np.concatenate(bins), np.concatenate(signs), BUCKETS * DIMENSIONS)
         table = total.reshape(BUCKETS, DIMENSIONS)
         used = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(table[used, i].astype(np.int64)) for i in range(DIMENSIONS))], names=["bucket", *(f"v{i}" for i in range(DIMENSIONS))])
