@@ -23,11 +23,12 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 _RUN = "[0-9A-Za-z+/_-]"
-_KNOWN = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{10,255}|[sr]k_live_[0-9A-Za-z]{16,255}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,2000}\.[0-9A-Za-z_-]{10,4000}\.[0-9A-Za-z_-]{10,2000}"
+#: Forms have no upper bound, so that a value is one candidate however long; possessive quantifiers never go back.
+_KNOWN = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|[sr]k_live_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+"
 _NAME = r"""(?i:passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?|private[_-]?keys?|credentials?|auth)["']?\s{0,3}(?:=>|:=|=|:)\s{0,3}["']?"""
-_ASSIGNED = _NAME + r"""[^\s"'<>,;(){}]{6,400}"""
-_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[0-9A-Za-z+/=\s\\]{0,20000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
-_LONG = rf"(?<![0-9A-Za-z+/_=.-])(?={_RUN}{{0,400}}[0-9])(?={_RUN}{{0,400}}[A-Za-z]){_RUN}{{20,400}}=?=?"
+_ASSIGNED = _NAME + r"""[^\s"'<>,;(){}]{6,}+"""
+_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[0-9A-Za-z+/=\s\\]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+_LONG = rf"(?<![0-9A-Za-z+/_=.-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}{{20,}}+=?=?"
 CANDIDATE = f"(?<![0-9A-Za-z_])(?:{_KNOWN})|{_ASSIGNED}|{_BLOCK}|{_LONG}"
 #: A cheap test that every text with a candidate passes.
 MAYBE = rf"(?i:passw|passphrase|pwd|secret|token|key|credential|auth)|AKIA|_live_|gh[pousr]_|xox|AIza|eyJ|{_RUN}{{20}}"
