@@ -5,14 +5,18 @@ rest of h's mass exactly to the words not seen after h. p(w) = d c(w) / N; words
 
 The model's tables lie in the shared folder: unigrams by word, bigrams by bucket, backoff weights by history.
 
-* The vocabulary has the words of at least two occurrences, the VOCABULARY most frequent ones at most, and so fits a
-  broadcast of fixed size. Other words are one class, UNK, in bigrams; p(w | h) = p(UNK | h) p(w) / p(UNK) for them, with
+* Every word of training has an id of its own. The VOCABULARY most frequent ones of at least two occurrences are numbered
+  in a broadcast of fixed size; the id of any other is its hash, below 0. A bucket gets the counts of such words that its
+  pairs end with by a join on the word, and has all pairs of a history (but see the last point), so it knows the history's
+  count, mass and backoff weight by itself.
+* With a limit (most), words beyond it are one class, UNK, in bigrams; p(w | h) = p(UNK | h) p(w) / p(UNK) for them, with
   their exact counts, which a join brings.
 * Texts are read in chunks. A chunk sends each bucket its distinct pairs, how often training documents have them, and
   which documents do how often, packed. A bucket therefore counts a pair over the whole corpus, and later gives each of
   those documents the sum of its pairs' log probabilities, without the texts.
 * Words with a thousandth of all tokens are at most a thousand. Pairs of two such words are counted in a table of at most
-  a million rows, broadcast; their requests are dealt out by chunk. Pairs with one such history are dealt out by pair.
+  a million rows, broadcast; their requests are dealt out by chunk. Pairs with one such history are dealt out by pair;
+  the weights of these histories are summed up over the buckets and broadcast.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ VOCABULARY, BUCKET_TOKENS, HOT_SHARE = 1 << 20, 1_000_000, 1000
 #: Counts up to here are discounted.
 DISCOUNTED = 5
 END = 0  #: the hash of the empty word, which no word has
+#: The bit that ids of words outside the broadcast table have, and no others.
+OUTSIDE = -(1 << 63)
 CHUNK = 4 << 20
 
 
@@ -66,7 +72,7 @@ def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Ids: 0 for UNK, then words in the order of their hashes, then the beginning of a text."""
+    """Ids: 0 for UNK, then words in the order of their hashes, then the beginning of a text; below 0 hashes of other words."""
 
     words: np.ndarray
     counts: np.ndarray  #: of each id in training, the beginning's (documents) included
@@ -76,12 +82,25 @@ class Vocabulary:
     types: int
     unseen: float  #: probability of all unseen words together
     hot: np.ndarray
+    whole: bool = False  #: no UNK: words outside have ids of their own
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         some, back = np.unique(hashes, return_inverse=True)
         at = np.minimum(np.searchsorted(self.words, some), max(0, len(self.words) - 1))
         return (np.where(self.words[at] == some, at + 1, 0) if len(self.words) else np.zeros(len(some), np.int64))[back]
 
+    def dealt(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The ids that pairs are made of."""
+        return np.where(ids > 0, ids, hashes | np.int64(OUTSIDE)) if self.whole else ids
+
+    def is_hot(self, ids: np.ndarray) -> np.ndarray:
+        return self.hot[np.maximum(ids, 0)] & (ids >= 0)
+
+    def share(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Unigram probabilities; counts: those of the words outside."""
+        other = np.where(counts > 0, discounted(counts, self.factors) / max(1, self.tokens), self.unseen)
+        return np.where(ids >= 0, self.p[np.maximum(ids, 0)], other)
+
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -111,9 +130,9 @@ def unigrams(texts: DataFrame) -> DataFrame:
     return saved(texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
 
 
-def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> tuple[Vocabulary, int]:
-    """The vocabulary, and the least count of a word in it."""
-    cap = 100_000
+def vocabulary(counts: DataFrame, most: int | None = None) -> tuple[Vocabulary, int]:
+    """The vocabulary, and the least count of a word in its table."""
+    cap, whole, most = 100_000, most is None, VOCABULARY if most is None else most
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     of = dict(counts.groupBy(F.least("n", F.lit(cap)).alias("n")).count().collect())  # cap rows at most
     least, kept = cap, 0
@@ -136,7 +155,7 @@ def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> tuple[Vocabulary, i
     inside = np.append(np.concatenate([[tokens - n.sum()], n]), documents)
     share = np.concatenate([[max(1 - p.sum(), 1e-12)], p, [0.0]])
     hot = inside * HOT_SHARE >= max(1, tokens)
-    return Vocabulary(found, inside, share, factors * scale, int(tokens), int(types), unseen, hot), least
+    return Vocabulary(found, inside, share, factors * scale, int(tokens), int(types), unseen, hot, whole), least
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -177,7 +196,46 @@ def _grouped(pair: np.ndarray, doc: np.ndarray, train: np.ndarray) -> tuple[np.n
 
 
 PARTS = "kind int, bucket long, chunk long, doc int, data binary, word long, n long, doc_id long, held_out boolean, known long, base double"
-PAIRS, HOT, COUNT, TAIL, DOC = range(5)
+WORDS, PAIRS, HOT, COUNT, TAIL, DOC = range(-1, 5)
+
+
+def _before(ids: np.ndarray, first: np.ndarray, beginning: int) -> np.ndarray:
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[first[:-1]] = beginning
+    return before
+
+
+def _bucket(before: np.ndarray, ids: np.ndarray, v: Vocabulary, buckets: int) -> np.ndarray:
+    """The bucket of each pair that isn't hot: that of its history, or of the pair if its history is hot."""
+    by = np.where(v.is_hot(before), mixed((before * np.int64(1000003)).view(np.uint64)) ^ mixed(ids.view(np.uint64)), before.view(np.uint64))
+    return (mixed(by) % np.uint64(buckets)).astype(np.int64)
+
+
+def asked_words(docs: DataFrame, counts: DataFrame, vocab, buckets: int) -> DataFrame:
+    """For each bucket the words outside the table that its pairs end with: kind, bucket, word (id), n (0: not in training)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = vocab.value
+        for batch in batches:
+            for part in slices(batch, byte_lengths(batch.column(0)), CHUNK):
+                hashes, first = hashed(part.column(0))
+                ids = v.dealt(hashes, v.ids(hashes))
+                rare = np.flatnonzero(ids < 0)
+                before = _before(ids, first, len(v.words) + 1)[rare]
+                ids = ids[rare]
+                to = _bucket(before, ids, v, buckets)
+                order = np.lexsort((to, ids))
+                ids, to = ids[order], to[order]
+                fresh = np.ones(len(ids), bool)
+                fresh[1:] = (ids[1:] != ids[:-1]) | (to[1:] != to[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(to[fresh]), pa.array(ids[fresh])], names=["bucket", "word"])
+
+    known = counts.select(F.col("word").bitwiseOR(F.lit(OUTSIDE)).alias("word"), F.col("n").alias("c"))
+    found = docs.select("text").mapInArrow(run, "bucket long, word long").join(known, "word", "left")
+    found = found.groupBy("word", "bucket").agg(F.coalesce(F.max("c"), F.lit(0)).alias("n"))
+    empty = [F.lit(None).cast(t).alias(name) for name, t in (x.split() for x in PARTS.split(", ")) if name not in ("kind", "bucket", "word", "n")]
+    return found.select(F.lit(WORDS).alias("kind"), "bucket", "word", "n", *empty).select(*(x.split()[0] for x in PARTS.split(", ")))
 
 
 def parts(docs: DataFrame, vocab, buckets: int) -> DataFrame:
@@ -206,108 +264,146 @@ def parts(docs: DataFrame, vocab, buckets: int) -> DataFrame:
                 yield rows(n, kind=np.full(n, DOC), bucket=np.arange(n), chunk=np.full(n, chunk), doc=np.arange(n), n=np.diff(first), doc_id=part.column(0), held_out=held, known=known, base=base)
                 tail, back = np.unique(np.stack([hashes[~inside], doc[~inside]]), axis=1, return_counts=True) if (~inside).any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
                 yield rows(len(back), kind=np.full(len(back), TAIL), bucket=tail[0], chunk=np.full(len(back), chunk), doc=tail[1], word=tail[0], n=back)
-                before = np.empty_like(ids)
-                before[1:] = ids[:-1]
-                before[first[:-1]] = size - 1
-                pair = before * size + ids
-                hot = v.hot[before] & v.hot[ids]
+                # Places of the ids among the chunk's own keep pairs in one number.
+                own, place = np.unique(np.append(v.dealt(hashes, ids), size - 1), return_inverse=True)
+                pair = _before(place[:-1], first, place[-1]) * len(own) + place[:-1]
+                hot = v.is_hot(own)[pair // len(own)] & v.is_hot(own)[pair % len(own)]
                 for which, kind in ((~hot, PAIRS), (hot, HOT)):
                     some, learnt, asked, who, times = _grouped(pair[which], doc[which], ~held)
                     if not len(some):
                         continue
+                    h, w = own[some // len(own)], own[some % len(own)]
                     if kind == HOT:
-                        yield rows(len(some), kind=np.full(len(some), COUNT), bucket=some, word=some, n=learnt)
-                        spread = mixed((some + np.int64(chunk) * 1000003).view(np.uint64))
+                        code = h * size + w
+                        yield rows(len(code), kind=np.full(len(code), COUNT), bucket=code, word=code, n=learnt)
+                        to = (mixed((code + np.int64(chunk) * 1000003).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                     else:
-                        spread = mixed(np.where(v.hot[some // size], some, some // size).view(np.uint64))
-                    to = (spread % np.uint64(buckets)).astype(np.int64)
+                        to = _bucket(h, w, v, buckets)
                     order = np.argsort(to, kind="stable")
                     begin = np.cumsum(asked) - asked
                     at, m = begin[order], asked[order]
                     pick = np.repeat(at - np.cumsum(m) + m, m) + np.arange(m.sum())
-                    some, learnt, asked, who, times, to = some[order], learnt[order], m, who[pick], times[pick], to[order]
+                    h, w, learnt, asked, who, times, to = h[order], w[order], learnt[order], m, who[pick], times[pick], to[order]
                     edge = np.concatenate([[0], np.cumsum(asked)])
                     cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
                     blobs = []
                     for a, b in zip(cut[:-1], cut[1:], strict=True):
                         c, d = edge[a], edge[b]
-                        blobs.append(_pack(np.diff(some[a:b], prepend=0), learnt[a:b].astype(np.int32), asked[a:b].astype(np.int32), who[c:d].astype(np.int32), times[c:d].astype(np.int32)))
+                        blobs.append(_pack(np.diff(h[a:b], prepend=0), w[a:b], learnt[a:b].astype(np.int32), asked[a:b].astype(np.int32), who[c:d].astype(np.int32), times[c:d].astype(np.int32)))
                     yield rows(len(blobs), kind=np.full(len(blobs), kind), bucket=to[cut[:-1]], chunk=np.full(len(blobs), chunk), data=blobs)
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, PARTS)
 
 
 def merged(dealt: DataFrame) -> DataFrame:
-    """One row for each bucket from all packed pairs of its chunks; other rows pass."""
+    """One row for each bucket from all packed pairs of its chunks and the counts of words outside; other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
+        outside: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         now, schema = None, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
             for _, chunk, data in held:
-                delta, learnt, asked, who, times = _unpack(data)
-                for to, x in zip(columns, (np.cumsum(delta), learnt, asked, who, times, np.full(len(who), chunk)), strict=True):
+                delta, w, learnt, asked, who, times = _unpack(data)
+                for to, x in zip(columns, (np.cumsum(delta), w, learnt, asked, who, times, np.full(len(who), chunk)), strict=True):
                     to.append(x)
-            some, learnt, asked, who, times, chunk = (np.concatenate(x) for x in columns)
-            keys, back = np.unique(some, return_inverse=True)
-            total = np.bincount(back, learnt, len(keys)).astype(np.int64)
+            h, w, learnt, asked, who, times, chunk = (np.concatenate(x) for x in columns)
+            columns.clear()
+            order = np.lexsort((w, h))
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)
+            back = np.empty(len(h), np.int32)
+            back[order] = np.cumsum(fresh) - 1
+            h, w = h[order[fresh]], w[order[fresh]]
+            total = np.bincount(back, learnt, len(h)).astype(np.int64)
             asking = np.repeat(back, asked)
             order = np.lexsort((asking, who, chunk))
-            data = _pack(np.diff(keys, prepend=0), total, np.diff(chunk[order], prepend=0), who[order], times[order], asking[order].astype(np.int32))
+            counts, rare = np.zeros(len(w), np.int64), w < 0
+            if rare.any():
+                words, n = (np.concatenate(x) for x in zip(*outside[now[1]], strict=True))
+                sort = np.argsort(words)
+                counts[rare] = n[sort][np.searchsorted(words[sort], w[rare])]
+            data = _pack(np.diff(h, prepend=0), w, total, counts, np.diff(chunk[order], prepend=0), who[order], times[order], asking[order].astype(np.int32))
             values = {"kind": now[0], "bucket": now[1], "data": data}
             yield pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
 
         for batch in batches:
             schema = batch.schema
             kind = np.asarray(batch.column(0))
-            packed = kind <= HOT
-            if (~packed).any():
-                yield batch.filter(pa.array(~packed))
+            packed = (kind == PAIRS) | (kind == HOT)
+            if (kind > HOT).any():
+                yield batch.filter(pa.array(kind > HOT))
+            if (kind == WORDS).any():
+                some = batch.filter(pa.array(kind == WORDS))
+                to, word, n = (np.asarray(some.column(i)) for i in (1, 5, 6))
+                cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    outside.setdefault(int(to[a]), []).append((word[a:b], n[a:b]))
             if packed.any():
                 some = batch.filter(pa.array(packed))
                 for key in zip(*(some.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
                     if key[:2] != now:
                         yield from flush()
                         held, now = [], key[:2]
+                        for old in [x for x in outside if x < now[1]]:
+                            del outside[old]
                     held.append(key[1:])
         yield from flush()
 
     return dealt.mapInArrow(run, PARTS)
 
 
+def weights_of(count: np.ndarray, mass: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Denominators and log10 backoff weights of histories from their counts, and what the pairs seen have of discounted
+    counts and of unigram probability."""
+    denominator = count.astype(float)
+    denominator[mass >= denominator - 1e-9] += 1  # nothing was discounted: the words not seen get the mass of one
+    rest = 1 - p
+    full = rest < 1e-9
+    denominator[full] = np.maximum(mass[full], 1e-300)
+    left = 1 - mass / np.maximum(denominator, 1e-300)
+    return denominator, np.where(count > 0, np.log10(np.maximum(left, 1e-300) / np.where(full, 1, rest)), 0.0)
+
+
 @dataclass
 class Backoff:
-    """Discount factors of pairs, each history's denominator and log10 weight, and the hot pairs with their counts."""
+    """Discount factors of pairs, denominators and log10 weights of the hot histories, and the hot pairs with their counts."""
 
     factors: np.ndarray
+    histories: np.ndarray
     denominator: np.ndarray
     alpha: np.ndarray
     hot_pairs: np.ndarray
     hot_counts: np.ndarray
 
-    def log10(self, pair: np.ndarray, count: np.ndarray, v: Vocabulary) -> np.ndarray:
-        """Log10 p(w | h): of the pair where it was seen, else by one step back to the unigram."""
-        size = len(v.words) + 2
-        h, w = pair // size, pair % size
-        seen = count > 0
-        out = self.alpha[h] + np.log10(np.maximum(v.p[w], 1e-300))
-        out[seen] = np.log10(discounted(count[seen], self.factors) / self.denominator[h[seen]])
+    def log10(self, h: np.ndarray, w: np.ndarray, count: np.ndarray, outside: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """Log10 p(w | h) of pairs in order: of the pair where it was seen, else by one step back to the unigram."""
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = h[1:] != h[:-1]
+        of, some, p, seen = np.cumsum(fresh) - 1, h[fresh], v.share(w, outside), count > 0
+        n = len(some)
+        denominator, alpha = weights_of(np.bincount(of, count, n), np.bincount(of, discounted(count, self.factors), n), np.bincount(of, np.where(seen, p, 0), n))
+        hot = np.flatnonzero(v.is_hot(some))
+        at = np.searchsorted(self.histories, some[hot])
+        denominator[hot], alpha[hot] = self.denominator[at], self.alpha[at]
+        out = alpha[of] + np.log10(np.maximum(p, 1e-300))
+        out[seen] = np.log10(discounted(count[seen], self.factors) / denominator[of[seen]])
         return out
 
 
 def backoff(table: DataFrame, vocab, hot: tuple[np.ndarray, np.ndarray]) -> Backoff:
-    """Weights of all histories from the bucket rows; their number is bounded by the vocabulary's."""
+    """Discount factors, and the weights of the histories that no bucket has whole, from the bucket rows."""
     v: Vocabulary = vocab.value
     size = len(v.words) + 2
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                total = _unpack(data)[1]
+                total = _unpack(data)[2]
                 n = np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["c", "n"])
 
@@ -316,37 +412,33 @@ def backoff(table: DataFrame, vocab, hot: tuple[np.ndarray, np.ndarray]) -> Back
         of[int(c)] = of.get(int(c), 0) + 1
     factors = discounts(of)
 
-    def sums(pair: np.ndarray, total: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        pair, total = pair[total > 0], total[total > 0]
-        h, back = np.unique(pair // size, return_inverse=True)
-        return h, np.bincount(back, discounted(total, factors), len(h)), np.bincount(back, v.p[pair % size], len(h))
+    def sums(h: np.ndarray, w: np.ndarray, total: np.ndarray, outside: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pick = (total > 0) & v.is_hot(h)
+        h, w, total, outside = h[pick], w[pick], total[pick], outside[pick]
+        h, back = np.unique(h, return_inverse=True)
+        return h, np.bincount(back, discounted(total, factors), len(h)), np.bincount(back, v.share(w, outside), len(h))
 
     def histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                delta, total = _unpack(data)[:2]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums(np.cumsum(delta), total, vocab.value)], names=["h", "mass", "p"])
+                delta, w, total, outside = _unpack(data)[:4]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums(np.cumsum(delta), w, total, outside, vocab.value)], names=["h", "mass", "p"])
 
     weights = saved(table.select("data").mapInArrow(histories, "h long, mass double, p double").groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("p").alias("p")), "backoff").toArrow()
-    mass, p = np.zeros(size), np.zeros(size)
-    for h, m, q in ((np.asarray(weights.column(0)), np.asarray(weights.column(1)), np.asarray(weights.column(2))), sums(*hot, v)):
-        np.add.at(mass, h, m)
-        np.add.at(p, h, q)
-    denominator = v.counts.astype(float)
-    denominator[mass >= denominator - 1e-9] += 1  # nothing was discounted: the words not seen get the mass of one
-    rest = 1 - p
-    full = rest < 1e-9
-    denominator[full] = np.maximum(mass[full], 1e-300)
-    left = 1 - mass / np.maximum(denominator, 1e-300)
-    alpha = np.where(v.counts > 0, np.log10(np.maximum(left, 1e-300) / np.where(full, 1, rest)), 0.0)
-    return Backoff(factors, denominator, alpha, *hot)
+    some = np.flatnonzero(v.hot)
+    mass, p = np.zeros(len(some)), np.zeros(len(some))
+    for h, m, q in ((np.asarray(weights.column(0)), np.asarray(weights.column(1)), np.asarray(weights.column(2))), sums(hot[0] // size, hot[0] % size, hot[1], np.zeros_like(hot[1]), v)):
+        at = np.searchsorted(some, h)
+        np.add.at(mass, at, m)
+        np.add.at(p, at, q)
+    return Backoff(factors, some, *weights_of(v.counts[some], mass, p), *hot)
 
 
-def scores(docs: DataFrame, training: Column, most: int = VOCABULARY, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def scores(docs: DataFrame, training: Column, most: int | None = None, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     docs: doc_id, text. training: which rows the model learns from; the others are held out. A null or empty text is its
-    end alone. Repeated rows and ids count and are returned as often as they are there; null ids stay null.
+    end alone. most: words that aren't UNK in bigrams at most; without it there is no UNK. Repeated rows and ids count and are returned as often as they are there; null ids stay null.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -359,7 +451,9 @@ def scores(docs: DataFrame, training: Column, most: int = VOCABULARY, bucket_tok
     key = F.when(F.col("kind") <= HOT, F.col("bucket") * 2 + F.col("kind")).otherwise(F.xxhash64("kind", "bucket", "chunk"))
     # Buckets go to partitions in turn; what is no bucket is spread by hash.
     to = F.when(F.col("kind") <= HOT, F.pmod(F.col("bucket"), F.lit(shuffles))).otherwise(F.pmod(key, F.lit(shuffles))).cast("int")
-    dealt = parts(docs, vocab, buckets).repartitionById(shuffles, to).sortWithinPartitions("kind", "bucket", "chunk")
+    sent = parts(docs, vocab, buckets)
+    sent = sent.union(asked_words(docs, counts, vocab, buckets)) if model.whole else sent
+    dealt = sent.repartitionById(shuffles, to).sortWithinPartitions("bucket", "kind", "chunk")
     table = saved(merged(dealt), "bigrams", ["kind"])
     pairs, rows = table.where(F.col("kind") <= HOT), table.where(F.col("kind") >= TAIL)
     hot = table.where(F.col("kind") == COUNT).groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # a million rows at most
@@ -371,11 +465,11 @@ def scores(docs: DataFrame, training: Column, most: int = VOCABULARY, bucket_tok
         b, v = weights.value, vocab.value
         for batch in batches:
             for kind, data in zip(np.asarray(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                delta, total, chunk, who, times, asking = _unpack(data)
-                pair = np.cumsum(delta)
+                delta, w, total, outside, chunk, who, times, asking = _unpack(data)
+                h = np.cumsum(delta)
                 if kind == HOT:
-                    total = b.hot_counts[np.searchsorted(b.hot_pairs, pair)]
-                value = times * b.log10(pair, total, v)[asking]
+                    total = b.hot_counts[np.searchsorted(b.hot_pairs, h * (len(v.words) + 2) + w)]
+                value = times * b.log10(h, w, total, outside, v)[asking]
                 chunk = np.cumsum(chunk)
                 head = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (who[1:] != who[:-1])]))
                 value, chunk, who = np.add.reduceat(value, head), chunk[head], who[head]
@@ -410,7 +504,8 @@ def scores(docs: DataFrame, training: Column, most: int = VOCABULARY, bucket_tok
         factor = F.when(c == r, F.lit(float(model.factors[r]))).otherwise(factor)
     own = F.when(c > 0, c * factor / float(max(1, model.tokens))).otherwise(F.lit(float(model.unseen)))
     tail = rows.where(F.col("kind") == TAIL).select("word", "chunk", "doc", "n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    tail = tail.select("chunk", "doc", (n * (F.log10(own) - float(np.log10(model.p[0])))).alias("score"), F.when(c > 0, n).otherwise(0).alias("known"), (n * F.log10((c + 1) / float(model.tokens + model.types + 1))).alias("base"))
+    within = F.lit(0.0) if model.whole else n * (F.log10(own) - float(np.log10(model.p[0])))
+    tail = tail.select("chunk", "doc", within.alias("score"), F.when(c > 0, n).otherwise(0).alias("known"), (n * F.log10((c + 1) / float(model.tokens + model.types + 1))).alias("base"))
     heads = rows.where(F.col("kind") == DOC).select("chunk", "doc", "doc_id", "held_out", F.col("n").alias("n_tokens"), "known", "base")
     both = heads.unionByName(tail, allowMissingColumns=True).unionByName(sums, allowMissingColumns=True)
     total = both.groupBy("chunk", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))

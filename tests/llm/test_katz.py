@@ -95,3 +95,49 @@ def test_packing():
     arrays = [np.array([5, -3, 2**40]), np.zeros(0, np.int32), np.array([1.5, -2.25], np.float32)]
     for a, b in zip(arrays, K._unpack(K._pack(*arrays)), strict=True):
         assert a.dtype == b.dtype and a.tolist() == b.tolist()
+
+
+def whole_brute(rows, train):
+    """As brute, with every word of training in the vocabulary."""
+    texts = [[*(t or "").lower().split(), None] for _, t in rows]
+    learn = [t for t, ok in zip(texts, train, strict=True) if ok]
+    uni, bi = Counter(w for t in learn for w in t), Counter((h, w) for t in learn for h, w in zip(["<s>", *t], t, strict=False))
+    n, of, hist = sum(uni.values()), Counter(uni.values()), Counter()
+    for (h, _), c in bi.items():
+        hist[h] += c
+    d = lambda factors, c: c * (factors[c] if c <= K.DISCOUNTED else 1)
+    f1, f2 = K.discounts(of), K.discounts(Counter(bi.values()))
+    mass = sum(d(f1, c) for c in uni.values())
+    unseen = 1 - mass / n if mass < n else 1 / (n + 1)
+    p = {w: d(f1, c) * (1 - unseen) / mass for w, c in uni.items()}
+    models = {}
+    for h, count in hist.items():
+        seen = {w: d(f2, c) for (g, w), c in bi.items() if g == h}
+        den, rest = count + (sum(seen.values()) >= count - 1e-9), 1 - sum(p[w] for w in seen)
+        models[h] = seen, den, (1 - sum(seen.values()) / den) / rest
+        assert sum(x / den for x in seen.values()) + models[h][2] * (sum(p[w] for w in p if w not in seen) + unseen) == pytest.approx(1)
+    out = []
+    for (i, _), t, ok in zip(rows, texts, train, strict=True):
+        score = 0
+        for h, w in zip(["<s>", *t], t, strict=False):
+            seen, den, alpha = models.get(h, ({}, 1, 1))
+            score += math.log10(seen[w] / den if w in seen else alpha * p.get(w, unseen))
+        base = sum(math.log10((uni[w] + 1) / (n + len(uni) + 1)) for w in t)
+        out.append((i, not ok, len(t), sum(uni[w] > 0 for w in t), n, base, score))
+    return out
+
+
+@pytest.mark.parametrize("table", [1 << 20, 40])
+def test_every_word_of_training_has_its_own_pairs(spark, monkeypatch, table):
+    monkeypatch.setattr(K, "CHUNK", 4000)
+    monkeypatch.setattr(K, "HOT_SHARE", 30)
+    monkeypatch.setattr(K, "VOCABULARY", table)
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"W{int(x)}" for x in np.minimum(rng.zipf(1.5, n), 400))
+    rows = [(i, text(int(rng.integers(0, 90)))) for i in range(140)] + [(900, None), (901, ""), (902, "never seen before é é"), (903, "once met only"), (903, "rare met rare"), (904, "once met only rare met")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    got = sorted(tuple(r) for r in K.scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, bucket_tokens=300).collect())
+    want = sorted(whole_brute(rows, train))
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-6)
