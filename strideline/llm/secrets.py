@@ -25,10 +25,10 @@ MASK = "[SECRET]"
 _RUN = "[0-9A-Za-z+/_-]"
 #: Forms have no upper bound, so that a value is one candidate however long; possessive quantifiers never go back.
 _KNOWN = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|[sr]k_live_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+"
-_NAME = r"""(?i:passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?|private[_-]?keys?|credentials?|auth)["']?\s{0,3}(?:=>|:=|=|:)\s{0,3}["']?"""
+_NAME = r"""(?i:passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?(?:[_-]base)?|private[_-]?keys?|credentials?|auth|[_-]keys?|[_-]key[_-]base)["']?\s{0,3}(?:=>|:=|=|:)\s{0,3}["']?"""
 _ASSIGNED = _NAME + r"""[^\s"'<>,;(){}]{6,}+"""
 _BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[0-9A-Za-z+/=\s\\]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
-_LONG = rf"(?<![0-9A-Za-z+/_=.-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}{{20,}}+=?=?"
+_LONG = rf"(?<![0-9A-Za-z+/_.-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}{{20,}}+=?=?"
 CANDIDATE = f"(?<![0-9A-Za-z_])(?:{_KNOWN})|{_ASSIGNED}|{_BLOCK}|{_LONG}"
 #: A cheap test that every text with a candidate passes.
 MAYBE = rf"(?i:passw|passphrase|pwd|secret|token|key|credential|auth)|AKIA|_live_|gh[pousr]_|xox|AIza|eyJ|{_RUN}{{20}}"
@@ -37,7 +37,7 @@ MAYBE = rf"(?i:passw|passphrase|pwd|secret|token|key|credential|auth)|AKIA|_live
 DICTIONARY = "about access account admin agent alias asset auth backup branch build cache change changeme class client cloud commit common config connect content core credential data database debug default demo deploy dev digest docs document domain dummy email enter error example expiration export fake field file folder foo bar format group handler hash hello help here home host html image import index insert item java key lang lib license list local log login main manager master message model module name node note null object option package page param pass password path phrase placeholder plugin port private prod profile project public query random read record release remote replace request reset response resource root sample script secret select server service session setting share site some source src state static string style sub system table target temp template test text the time title token tool type update url user util value version view web word words work your xxx".split()
 _WORDS = "(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
 _BENIGN = r"(?i)commit|sha-?\d|sha\b|md5|digest|checksum|uuid|guid|hash|revision|example|sample|placeholder|template|dummy|tree|blob|object|integrity"
-_NAMED = r"(?i)passw|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer"
+_NAMED = r"(?i)passw|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|[_-]key|credential|auth|bearer"
 FEATURES = ["length", "transitions", "digits", "distinct", "dictionary", "path", "named", "benign", "known", "hexadecimal", "vowels"]
 
 

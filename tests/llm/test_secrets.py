@@ -68,3 +68,13 @@ def test_long_values_are_masked_whole(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in S.redacted(docs, S.train(spark)).collect()}
     assert [len(got[i]) for i in range(len(texts))] == [len(x) for x in want] and [got[i] for i in range(len(texts))] == want
+
+
+def test_unquoted_assignments_of_any_name_are_candidates(spark):
+    values = ["q8Zr2Lk0Vt5Xw9Bn3Mc7Hd1Gs6Jf4Pa8Ye2Ku0Ti", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
+    texts = [f"x {name}={v} z" for name in ("ENCRYPTION_KEY", "SECRET_KEY_BASE", "SIGNING_SALT") for v in values] + ["x LICENSE_KEY=q8Zr2!Lk0V z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trees = S.train(spark)
+    for r in S.scan(docs, trees).collect():
+        assert len(r.findings) == 1 and r.findings[0].match in r.text and r.text.split("=")[1][:-2] in r.findings[0].match
+    assert all(values[i % 2] not in r.text for i, r in enumerate(S.redacted(docs, trees).orderBy("doc_id").collect()[:4]))
