@@ -58,7 +58,7 @@ def features(match: Column, before: Column, after: Column) -> Column:
         size,
         count("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]") / size,
         count("[0-9]") / size,
-        F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))).cast("double") / F.least(size, F.lit(64.0)),
+        F.size(F.array_distinct(F.split(value, ""))).cast("double") / F.least(size, F.lit(64.0)),
         (size - F.length(lean)) / size,
         F.when(before.rlike(r"[/\\.]$") | after.rlike(r"^(?:[/\\]|\.[a-z])") | value.rlike(r"[/\\][a-z_-]{3,}[/\\.]|\.(?:html?|js|py|md|txt|png|css|json)$"), 1.0).otherwise(0.0),
         F.when(near.rlike(_NAMED), 1.0).otherwise(0.0),

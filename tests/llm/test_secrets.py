@@ -78,3 +78,10 @@ def test_unquoted_assignments_of_any_name_are_candidates(spark):
     for r in S.scan(docs, trees).collect():
         assert len(r.findings) == 1 and r.findings[0].match in r.text and r.text.split("=")[1][:-2] in r.findings[0].match
     assert all(values[i % 2] not in r.text for i, r in enumerate(S.redacted(docs, trees).orderBy("doc_id").collect()[:4]))
+
+
+def test_distinct_characters_of_the_whole_value(spark):
+    rest = "Zq8rL2kV0tX5wB9nM3cH7dG1sJ6fP4aYe"
+    rows = [("a" * 64 + rest,), ("a" * 97,), (rest,)]
+    found = spark.createDataFrame(rows, "m string").select(S.features(F.col("m"), F.lit(""), F.lit("")).alias("f")).collect()
+    assert [r.f.distinct for r in found] == [len(set(m)) / min(64, len(m)) for (m,) in rows]
