@@ -133,9 +133,10 @@ def learn(docs: DataFrame, allowed=None, text: str = "text", label: str = "lang"
     at = (F.lit(1) + F.pmod(h, F.greatest(F.lit(1), F.length(text) - PASSAGE + 1).cast("long"))).cast("int")
     piece = F.col(text).substr(at, F.lit(PASSAGE))
     rows = rows.select(F.col(label).cast("string").alias("label"), h.alias("h"), piece.alias("piece"))
-    # Of many rows only those with small hashes can be picked, so that no task gets more than a few times the sample.
+    # Of many texts only those with small hashes can be picked, so that no task gets more than a few times the sample.
+    # Copies have one hash and count once.
     enough = F.lit(False)
-    for r in rows.groupBy("label").count().collect():
+    for r in rows.select("label", "h").distinct().groupBy("label").count().collect():
         share = min(1.0, 4 * PER_LANGUAGE / r["count"])
         enough = enough | ((F.col("label") == r["label"]) & (F.col("h") <= int(share * ((1 << 64) - 1025)) - (1 << 63)))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))

@@ -75,3 +75,11 @@ def test_pooling_and_constant_classifier():
     assert np.allclose(both[2], one[0], atol=1e-5) and not both[1].any()
     net = Q.train(np.zeros((3, 2)), np.array([1, 1, 1]))
     assert net.probabilities(np.zeros((1, 2)))[0] == pytest.approx(0.8)
+
+
+def test_languages_of_few_texts_with_many_copies_are_learnt(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(L, "fit", lambda texts, labels: seen.update(texts=texts, labels=labels))
+    docs = spark.range(20_000).selectExpr("concat('text number ', id % 7) AS text", "'xx' AS lang").union(spark.range(50).selectExpr("concat('other ', id)", "'yy'"))
+    L.learn(docs)
+    assert len(set(seen["texts"])) == 57 and seen["labels"].count("xx") == 7 and seen["labels"].count("yy") == 50
