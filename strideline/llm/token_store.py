@@ -3,11 +3,12 @@
 Whole texts are encoded with the tokenizers library. A rolling hash over the last ids cuts each document's id stream into
 chunks wherever its low bits are zero, so equal passages give equal chunks. Each unique chunk is stored once, under the
 BLAKE2b digest of its ids as little-endian unsigned integers: of 16 bits where the tokenizer has at most 65,536 ids, else of 32. A document's recipe is the list of its chunks'
-digests; their Merkle root verifies it. The manifest holds the recipes in ascending order of document ids.
+digests; their Merkle root verifies it. The manifest holds the recipes in ascending order of document ids; a Merkle tree
+over its entries, with nodes of up to FAN entries, gives the root that verifies the whole store.
 
 Encoding looks up pre-tokens: the pattern that splits text is evaluated over whole batches of code points, each distinct
-pre-token of a batch is encoded once by the library (which treats pre-tokens separately, too), and a bounded cache keeps
-those that come again.
+pre-token of a batch is encoded once by the library's model (to which the library gives pre-tokens separately, too), and a
+bounded cache keeps those that come again. Texts with a special token's string go through the library whole.
 """
 
 from __future__ import annotations
@@ -34,15 +35,26 @@ END_ID = 2
 MEAN, MOST, ROLL = 512, 8192, 8
 #: Pre-tokens that a worker remembers.
 CACHED = 600_000
+#: Entries under one node of the manifest's tree.
+FAN = 4096
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
-def load(tokenizer_file: str) -> Tokenizer:
+def load(tokenizer_file: str, special_as_text: bool = False) -> Tokenizer:
+    """The library's tokenizer; special_as_text: strings of special tokens in a text are ordinary text."""
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     return tokenizer
 
 
+@cache
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte (as Latin-1) in byte-level vocabularies: itself where it prints, else one from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def classes(tokenizer: Tokenizer) -> np.ndarray:
     """For each code point its class as the library's own pre-tokenizer sees it: what it stays together with.
 
@@ -101,11 +113,19 @@ class Encoder:
     def __init__(self, tokenizer: Tokenizer, table: np.ndarray):
         self.tokenizer, self.table = tokenizer, table
         self.known: dict[str, bytes] = {}
-        self.values = np.random.default_rng(11).integers(1, 1 << 63, 1 << 16, np.uint64)
+        self.special = [] if tokenizer.encode_special_tokens else [x.content for x in tokenizer.get_added_tokens_decoder().values()]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start (with a last entry)."""
         whole = "".join(texts)
+        if not any(x in whole for x in self.special):
+            return self._plain(texts, whole)
+        marked = [any(x in text for x in self.special) for text in texts]
+        ids, first = self._plain(rest := ["" if m else x for x, m in zip(texts, marked, strict=True)], "".join(rest))
+        own = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) if m else ids[a:b] for x, m, a, b in zip(texts, marked, first[:-1], first[1:], strict=True)]
+        return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+    def _plain(self, texts: list[str], whole: str) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
         starts = pre_tokens(points, first, self.table)
@@ -117,10 +137,11 @@ class Encoder:
         np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * weights[0][: len(points)], out=total[1:])
         _, at, back = np.unique(mixed((total[ends] - total[starts]) * weights[1][starts] + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
         names = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        got = [self.known.get(x) for x in names]
+        got, letters, tokenize = list(map(self.known.get, names)), byte_letters(), self.tokenizer.model.tokenize
         missing = [i for i, x in enumerate(got) if x is None]
-        for i, x in zip(missing, self.tokenizer.encode_batch_fast([names[i] for i in missing], add_special_tokens=False), strict=True):
-            got[i] = np.array(x.ids, np.uint32).tobytes()
+        for i in missing:
+            found = [x.id for x in tokenize(names[i].encode().decode("latin-1").translate(letters))]
+            got[i] = struct.pack(f"{len(found)}I", *found)
             if len(self.known) < CACHED:
                 self.known[names[i]] = got[i]
         ids, size = np.frombuffer(b"".join(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)) // 4
@@ -130,14 +151,15 @@ class Encoder:
         return out, np.concatenate([[0], end])[np.searchsorted(starts, first)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(tokenizer_file: str, table: np.ndarray) -> Encoder:
+def _encoder(tokenizer_file: str, special_as_text: bool, table: np.ndarray) -> Encoder:
     """This worker's encoder, which later tasks use again."""
-    if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = Encoder(load(tokenizer_file), table)
-    return _ENCODERS[tokenizer_file]
+    key = tokenizer_file, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(load(*key), table)
+    return _ENCODERS[key]
 
 
 @cache
@@ -211,20 +233,23 @@ def width(tokenizer: Tokenizer, end_id: int | None = None) -> np.dtype:
 CHUNK_SCHEMA = "digest binary, doc_id long, n long, data binary"
 
 
-def write_store(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int | None = END_ID, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Encodes docs (doc_id, text) and writes chunks and manifest under a folder of the shared store; returns both tables.
+def write_store(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int | None = END_ID, text: str = "text", special_as_text: bool = False) -> tuple[DataFrame, DataFrame, bytes]:
+    """Encodes docs (doc_id, text) and writes chunks and manifest under a folder of the shared store; returns both tables
+    and the manifest's root.
 
-    chunks: digest, n (ids), data. manifest: doc_id, n (ids), leaves (digests one after the other), root, start (ids of
-    all documents before it), in ascending order of doc_id; null ids come first, rows with one id by their root. A null
-    or empty text has only the end id. Both come from one encoding and one shuffle of the ids.
+    chunks: digest, n (ids), data. manifest: doc_id, row (its place, from 0), n (ids), leaves (digests one after the
+    other), root (empty without ids), start (ids of all documents before it), in ascending order of doc_id; null ids come
+    first, rows with one id by their leaves. A null or empty text has only the end id, without one nothing. Both come
+    from one encoding and one shuffle of the ids. Repeated rows each have an entry; an empty table has an empty manifest.
+    Columns of docs but these two don't matter. special_as_text: as in load.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    tokenizer = load(tokenizer_file)
+    tokenizer = load(tokenizer_file, special_as_text)
     tables, kind = spark.sparkContext.broadcast(classes(tokenizer)), width(tokenizer, end_id)
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = _encoder(tokenizer_file, tables.value), set()
+        encode, seen = _encoder(tokenizer_file, special_as_text, tables.value), set()
         for batch in batches:
             for part in slices(batch, byte_lengths(batch.column(1))):
                 ids, first = encode(pc.fill_null(part.column(1), "").to_pylist())
@@ -262,28 +287,51 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int |
     chunks = parts.where("NOT recipe").select("digest", "n", "data")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
+        before, rows = 0, 0
         for batch in batches:
             n = np.asarray(batch.column(1))
             roots = [merkle([x[i : i + 20] for i in range(0, len(x), 20)]) if x else b"" for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary()), pa.array(before + np.cumsum(n) - n)], names=["doc_id", "n", "leaves", "part", "root", "start"])
-            before += int(n.sum())
+            made = [pa.array(roots, pa.binary()), pa.array(before + np.cumsum(n) - n), pa.array(rows + np.arange(len(n)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["doc_id", "n", "leaves", "part", "root", "start", "row"])
+            before, rows = before + int(n.sum()), rows + len(n)
+
+    ranged = parts.where("recipe").select("doc_id", "n", F.col("data").alias("leaves"))
+    ranged = ranged.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.xxhash64("leaves")).sortWithinPartitions("doc_id", "leaves")
+    recipes = saved(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(placed, "doc_id long, n long, leaves binary, part int, root binary, start long, row long"), "recipes")
+    bases, ids, rows_before = [], 0, 0  # a row for each partition
+    for r in sorted(recipes.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()):
+        bases.append((r.part, ids, rows_before))
+        ids, rows_before = ids + r.n, rows_before + r.rows
+    base = spark.createDataFrame(bases or [(0, 0, 0)], "part int, ids_before long, rows_before long")
+    manifest = recipes.join(F.broadcast(base), "part").select(
+        "doc_id", (F.col("row") + F.col("rows_before")).alias("row"), "n", "leaves", "root", (F.col("start") + F.col("ids_before")).alias("start")
+    )
+    return chunks, manifest, manifest_root(manifest)
+
+
+def manifest_root(manifest: DataFrame) -> bytes:
+    """The root of the tree over a manifest's entries (id, place, number of ids and root of each); empty without entries.
+
+    A node has FAN entries at most, so none gathers more, and each level is a FAN-th of the one below.
+    """
+
+    @F.udf("binary")
+    def node(children: list) -> bytes:
+        return merkle([bytes(x.hash) for x in children])
 
-    ranged = parts.where("recipe").select("doc_id", "n", F.col("data").alias("leaves")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.xxhash64("leaves")).sortWithinPartitions("doc_id", "leaves")
-    recipes = saved(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(placed, "doc_id long, n long, leaves binary, part int, root binary, start long"), "recipes")
-    sums, offsets = sorted((r.part, r.n) for r in recipes.groupBy("part").agg(F.sum("n").alias("n")).collect()), {}
-    for part, n in sums:
-        offsets[part] = sum_before = offsets.get("all", 0)
-        offsets["all"] = sum_before + n
-    offsets.pop("all", None)
-    base = spark.createDataFrame(list(offsets.items()) or [(0, 0)], "part int, base long")  # a row for each partition
-    manifest = recipes.join(F.broadcast(base), "part").select("doc_id", "n", "leaves", "root", (F.col("start") + F.col("base")).alias("start"))
-    return chunks, manifest
+    entry = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "row", "n", "start", F.hex("root"))
+    level = manifest.select("row", F.unhex(F.sha2(entry.cast("binary"), 256)).alias("hash"))
+    while True:
+        level = level.groupBy(F.floor(F.col("row") / FAN).alias("row")).agg(F.array_sort(F.collect_list(F.struct("row", "hash"))).alias("children"))
+        level = saved(level.select("row", node("children").alias("hash")), "manifest-tree")
+        top = level.limit(2).collect()
+        if len(top) < 2:
+            return bytes(top[0]["hash"]) if top else b""
 
 
 def _explode(manifest: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(0), (F.length("leaves") / 20).cast("int") - 1)
-    return manifest.where("length(leaves) > 0").select("start", F.posexplode(F.transform(places, lambda i: F.substring("leaves", i * 20 + F.lit(1), F.lit(20)))).alias("at", "digest"))
+    return manifest.where("length(leaves) > 0").select("row", F.posexplode(F.transform(places, lambda i: F.substring("leaves", i * 20 + F.lit(1), F.lit(20)))).alias("at", "digest"))
 
 
 def _ids(data: bytes, n: int) -> np.ndarray:
@@ -291,13 +339,15 @@ def _ids(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}")
 
 
-def read_back(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
+def read_back(chunks: DataFrame, manifest: DataFrame, root: bytes | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of 32-bit ids) of all documents, from the stored chunks.
 
     Every chunk is read once, hashed anew and checked against its digest; each document's root is computed from what was
-    read, and an error raised where it differs. The CRC of a document is joined from those of its chunks, so that chunks
-    needn't be copied for every document that has them.
+    read, and with root the manifest's, and an error raised where one differs. The CRC of a document is joined from those
+    of its chunks, so that chunks needn't be copied for every document that has them.
     """
+    if root is not None and manifest_root(manifest) != root:
+        raise ValueError("the manifest differs from its root")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,37 +359,44 @@ def read_back(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
 
     # Written, so that the join deals both sides anew and Spark can split the rows of a chunk that is everywhere.
     sums = saved(chunks.select("digest", "n", "data").mapInArrow(hashed, "digest binary, size long, crc long"), "chunk-sums")
-    found = _explode(manifest).join(sums, "digest", "left").groupBy("start").agg(F.collect_list(F.struct("at", "digest", "size", "crc")).alias("parts"))
+    found = _explode(manifest).join(sums, "digest", "left").groupBy("row").agg(F.collect_list(F.struct("at", "digest", "size", "crc")).alias("parts"))
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for row in batch.to_pylist():
-                parts = sorted(row["parts"] or [], key=lambda x: x["at"])
-                if any(x["size"] is None for x in parts):
-                    raise ValueError("a chunk is missing")
-                if parts and merkle([x["digest"] for x in parts]) != row["root"] or sum(x["size"] for x in parts) != row["n"]:
+            parts = batch.column(4)
+            counts = np.asarray(pc.fill_null(pc.list_value_length(parts), 0), np.int64)
+            flat = pc.list_flatten(parts)
+            if flat.field("size").null_count:
+                raise ValueError("a chunk is missing")
+            order = np.lexsort((np.asarray(flat.field("at")), np.repeat(np.arange(len(counts)), counts)))
+            digests, sizes, sums_ = (flat.field(k).take(pa.array(order)).to_pylist() for k in ("digest", "size", "crc"))
+            crcs, at = [], 0
+            for n, want, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), counts.tolist(), strict=True):
+                end = at + m
+                if (merkle(digests[at:end]) if m else b"") != want or sum(sizes[at:end]) != n:
                     raise ValueError("a document differs from its manifest")
                 crc = 0
-                for x in parts:
-                    crc = joined_crc(crc, x["crc"], 4 * x["size"])
+                for i in range(at, end):
+                    crc = joined_crc(crc, sums_[i], 4 * sizes[i])
                 crcs.append(crc)
+                at = end
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    both = manifest.select("doc_id", "start", "n", "root").join(found, "start", "left").select("doc_id", "start", "n", "root", "parts")
+    both = manifest.join(found, "row", "left").select("doc_id", "start", "n", "root", "parts")
     return both.mapInArrow(combined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def documents(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
-    """doc_id, start and ids (array) of all documents of the manifest, put together from their chunks."""
-    pieces = _explode(manifest).join(chunks, "digest").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "n", "data"))).alias("parts"))
+    """doc_id, row, start and ids (array) of all documents of the manifest, put together from their chunks."""
+    pieces = _explode(manifest).join(chunks, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "data"))).alias("parts"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([_ids(x["data"], x["n"]) for x in row]).tolist() if row else [] for row in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+            ids = [np.concatenate([_ids(x["data"], x["n"]) for x in row]).tolist() if row else [] for row in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "row", "start", "ids"])
 
-    return manifest.select("doc_id", "start").join(pieces, "start", "left").select("doc_id", "start", "parts").mapInArrow(whole, "doc_id long, start long, ids array<long>")
+    joined = manifest.select("doc_id", "row", "start").join(pieces, "row", "left").select("doc_id", "row", "start", "parts")
+    return joined.mapInArrow(whole, "doc_id long, row long, start long, ids array<long>")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
