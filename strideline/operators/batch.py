@@ -8,31 +8,66 @@ import traceback
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Keys that bounds of ranges are taken from.
+BOUND_KEYS = 10_000
+
+
 def shards(jobs: DataFrame, key: str, count: int) -> DataFrame:
     """key and the contiguous shard, from 1, that each job belongs to; the first shards get the remainder.
 
-    Ranks come from range partitions: their sizes are counted, so that no task sorts all jobs.
+    Ranks are exact and no task sorts all jobs: bounds from keys picked by hash cut them into ranges, whose sizes say where
+    each one's ranks begin. Bounds are literals, so every run of the plan makes the same ranges. Null keys come first.
     """
     spark = jobs.sparkSession
-    dealt = jobs.select(key).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
-    rows = dealt.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
-    rows = rows.withColumn("rank", F.col("at").bitwiseAND((1 << 33) - 1))
-    sizes, before, total = {r.part: r.n for r in dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()}, {}, 0
-    for part in sorted(sizes):
-        before[part] = total
-        total += sizes[part]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    some = jobs.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(BOUND_KEYS).orderBy(key).collect()
+    bounds = [some[i][0] for i in sorted({len(some) * k // parts for k in range(1, parts)})] if some else []
+    kind = jobs.schema[key].dataType
+    part = F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    rows = jobs.select(F.col(key), part.alias("part"))
+    sizes = sorted(rows.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a range
+    before, total = [], 0
+    for r in sizes:
+        before.append((r.part, total))
+        total += r.n
     base, extra = divmod(total, count)
-    start = F.lit(0)
-    for part, n in before.items():
-        start = F.when(F.col("part") == part, n).otherwise(start) if n else start
-    rank = F.col("rank") + start
-    large = extra * (base + 1)
+    offsets = spark.createDataFrame(before or [(0, 0)], "part int, start long")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1).join(F.broadcast(offsets), "part")
+    rank, large = F.col("rank") + F.col("start"), extra * (base + 1)
     shard = F.when(rank < large, F.floor(rank / (base + 1))).otherwise(extra + F.floor((rank - large) / max(1, base)))
-    return rows.select(key, (shard + 1).cast("int").alias("shard"))
+    return ranked.select(key, (shard + 1).cast("int").alias("shard"))
+
+
+def shard_jobs(jobs: DataFrame, key: str, number: int, count: int) -> DataFrame:
+    """The jobs of shard number, from 1, of count."""
+    return jobs.join(shards(jobs, key, count).where(F.col("shard") == number).select(key), key, "left_semi")
+
+
+def run_batch(jobs: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, folder: str, number: int = 1, count: int = 1, steps: int = 1) -> DataFrame:
+    """Runs fn on every job of a shard, in so many steps, and keeps results, errors and progress under a folder.
+
+    Returns the progress: a row a step with the shard, the jobs of the step, those that failed, and whether the shard is
+    complete. feedback() reads it meanwhile. A failed job doesn't stop the others.
+    """
+    spark = jobs.sparkSession
+    mine = shard_jobs(jobs, key, number, count)
+    placed = mine.join(shards(mine, key, steps), key)
+    for step in range(1, steps + 1):
+        out = f"{folder}/results/shard={number}/step={step}"
+        run_guarded(placed.where(F.col("shard") == step).drop("shard"), key, fn, schema).write.mode("overwrite").parquet(out)
+        done = spark.read.parquet(out).agg(F.count_distinct(key).alias("jobs"), F.count_distinct(F.when(F.col("error").isNotNull(), F.col(key))).alias("failed"))
+        state = done.select(F.lit(number).alias("shard"), F.lit(step).alias("step"), "jobs", "failed", F.lit(step == steps).alias("complete"))
+        state.write.mode("overwrite" if step == 1 else "append").json(f"{folder}/feedback/{number}")
+    return feedback(spark, folder, number)
+
+
+def feedback(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """Progress of a shard so far."""
+    return spark.read.schema("shard int, step int, jobs long, failed long, complete boolean").json(f"{folder}/feedback/{number}")
 
 
 def load_jobs(spark: SparkSession, path: str) -> DataFrame:

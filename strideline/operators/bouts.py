@@ -101,19 +101,61 @@ def complement(rows: DataFrame, periods: DataFrame, keep_empty: bool = True) ->
     return in_ts(pieces if keep_empty else pieces.where("x < y"), "x", "y")
 
 
-def confusion(left: DataFrame, right: DataFrame, periods: DataFrame, coarse: int = DAY) -> DataFrame:
-    """Seconds and number of overlaps of a0b0, a1b0, a0b1 and a1b1 (in a bout of left or right, or not) for each subject."""
-    not_left, not_right = complement(left, periods), complement(right, periods)
-    cells = {"a0b0": (not_left, not_right), "a1b0": (left, not_right), "a0b1": (not_left, right), "a1b1": (left, right)}
-    out = None
-    for name, (x, y) in cells.items():
-        cell = intersection(x, y, coarse).withColumn("cell", F.lit(name))
-        out = cell if out is None else out.unionByName(cell)
-    total = total_time(out, "cell").select("subject_id", "cell", F.col("total").alias("seconds"), "n")
-    grid = periods.select("subject_id").distinct().withColumn("cell", F.explode(F.array(*map(F.lit, cells))))
+def confusion(left: DataFrame, right: DataFrame, periods: DataFrame) -> DataFrame:
+    """Seconds and number of overlaps of a0b0, a1b0, a0b1 and a1b1 (in a bout of left or right, or not) for each subject.
+
+    Neither list's bouts overlap each other. Time outside of all bouts counts within the period only. One sweep over the
+    sorted starts and ends of both lists; a stretch between two of them is one overlap of a bout or gap of either list.
+    """
+    edge = lambda rows, name, a, b: rows.select("subject_id", F.explode(F.array(F.struct(F.col(a).alias("us"), F.lit(1).alias(name)), F.struct(F.col(b).alias("us"), F.lit(-1).alias(name)))).alias("e")).select("subject_id", "e.*")
+    ends = periods.select("subject_id", micros("period_start").alias("lo"), micros("period_end").alias("hi"))
+    found = edge(in_us(left.select(*INTERVAL)).where("a < b"), "a", "a", "b")
+    found = found.unionByName(edge(in_us(right.select(*INTERVAL)).where("a < b"), "b", "a", "b"), allowMissingColumns=True)
+    found = found.unionByName(edge(ends.where("lo < hi"), "p", "lo", "hi"), allowMissingColumns=True)
+    at = found.groupBy("subject_id", "us").agg(*(F.sum(F.coalesce(k, F.lit(0))).alias(k) for k in "abp"), (F.count("a") + F.count("b") > 0).alias("own"))
+    order = Window.partitionBy("subject_id").orderBy("us")
+    up = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = at.select("subject_id", (F.lead("us").over(order) - F.col("us")).alias("us"), "own", (F.col("p") > 0).alias("opens"), *((F.sum(k).over(up) > 0).alias(k) for k in "abp"))
+    cell = F.concat(F.lit("a"), F.col("a").cast("int"), F.lit("b"), F.col("b").cast("int"))
+    counted = swept.where(F.col("us").isNotNull() & (F.col("p") | (F.col("a") & F.col("b")))).withColumn("cell", cell)
+    fresh = F.col("own") | (F.col("opens") & (F.col("cell") != "a1b1"))
+    total = counted.groupBy("subject_id", "cell").agg((F.sum("us") / SECOND).alias("seconds"), F.count_if(fresh).alias("n"))
+    grid = periods.select("subject_id").distinct().withColumn("cell", F.explode(F.array(*map(F.lit, ("a0b0", "a1b0", "a0b1", "a1b1")))))
     return grid.join(total, ["subject_id", "cell"], "left").na.fill({"seconds": 0.0, "n": 0})
 
 
+def involved(rows: DataFrame, windows: DataFrame, coarse: int = DAY) -> DataFrame:
+    """The bouts that overlap any window (subject_id, start_ts, end_ts) of their subject, each once; other columns stay."""
+    keyed = in_us(rows).withColumn("row", F.monotonically_increasing_id())
+    hit = _overlaps(keyed.select("subject_id", "a", "b"), in_us(windows.select(*INTERVAL), "c", "d"), coarse).select("subject_id", "a", "b").distinct()
+    return in_ts(keyed.drop("row").join(hit, ["subject_id", "a", "b"], "left_semi")).select(rows.columns)
+
+
+def frame(rows: DataFrame) -> DataFrame:
+    """First start and last end of each subject's bouts: period_start, period_end."""
+    return rows.groupBy("subject_id").agg(F.min("start_ts").alias("period_start"), F.max("end_ts").alias("period_end"))
+
+
+def piecewise_statistics(rows: DataFrame, width: int, percentages: list[int] | None = None, period: tuple[Column, Column] | None = None) -> DataFrame:
+    """window_statistics of windows of width microseconds, by default from the start of the day of a subject's first bout
+    to the end of the day of its last."""
+    ends = frame(rows)
+    if period is None:
+        day = lambda c: F.floor(micros(c) / DAY) * DAY
+        lo, hi = day("period_start"), day("period_end") + DAY - 1
+    else:
+        lo, hi = micros(period[0]), micros(period[1])
+    starts = ends.select("subject_id", F.explode(F.sequence(lo.cast("long"), hi.cast("long") - 1, F.lit(width).cast("long"))).alias("a"))
+    return window_statistics(rows, starts.select("subject_id", instant("a").alias("start_ts"), instant(F.col("a") + width).alias("end_ts")), percentages)
+
+
+def summary_statistics(rows: DataFrame, percentages: list[int] | None = None, period: tuple[Column, Column] | None = None) -> DataFrame:
+    """window_statistics of one window a subject: all its bouts, or a period."""
+    ends = frame(rows)
+    ends = ends if period is None else ends.select("subject_id", period[0].alias("period_start"), period[1].alias("period_end"))
+    return window_statistics(rows, ends.select("subject_id", F.col("period_start").alias("start_ts"), F.col("period_end").alias("end_ts")), percentages)
+
+
 def sdx(rows: DataFrame, percentages: list[int], keys: tuple[str, ...] = ("subject_id",), lengths: Column | None = None) -> DataFrame:
     """sd<p>: the least whole number of minutes L >= 1 so that bouts of up to L make floor(p % of all bout time) or more.
 

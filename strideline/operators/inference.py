@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import calibrated
-from ..model import DAY, HOUR, KEYS, MINUTE, SECOND, instant, micros
+from ..model import DAY, HOUR, KEYS, MINUTE, SECOND, instant, micros, samples_from
 from ..spec import Generic
 from .bouts import INTERVAL, bouts, complement, in_us, intersection, limit_lengths, window_statistics
+from .spectral import along_records
 from .windows import tumbling
 
 #: Below this standard deviation (g) over ten seconds an axis is still. Fixed value.
@@ -135,11 +136,33 @@ def calibrate(points: DataFrame, enough: int = 500, empty_octants: int = 2) -> D
     return points.select("subject_id", "x", "y", "z", "n").groupBy("subject_id").applyInPandas(one, schema)
 
 
+def auto_calibrated(xyz: DataFrame, limit: float = STILL_G, cache=None) -> tuple[DataFrame, DataFrame]:
+    """x, y, z calibrated by their own still, reasonable periods, and the parameters with both errors.
+
+    xyz: subject_id, ts, x, y, z. Still bouts, their mean points, the solution and its application in one call. With a
+    ResultCache the parameters are computed once for a limit, stored, and taken from there later.
+    """
+    if is_calibrated(xyz):
+        raise ValueError("these samples are calibrated already")
+
+    def parameters(limit: float) -> DataFrame:
+        long = samples_from(xyz, "subject_id", "ts", x="x", y="y", z="z")
+        return calibrate(still_points(xyz, still_bouts(long, limit=limit)))
+
+    found = cache.get(parameters, "calibrate", {"limit": limit}) if cache else parameters(limit)
+    return apply_calibration(xyz, found), found
+
+
+def is_calibrated(xyz: DataFrame) -> bool:
+    """Whether x, y and z carry the mark of apply_calibration, which their schema keeps, in files too."""
+    return all(xyz.schema[a].metadata.get("calibrated", False) for a in "xyz")
+
+
 def apply_calibration(xyz: DataFrame, parameters: DataFrame) -> DataFrame:
-    """x, y, z with their subjects' offsets and scales applied."""
+    """x, y, z with their subjects' offsets and scales applied, and marked as calibrated."""
     rows = xyz.join(parameters.select("subject_id", *(f"{a}_{k}" for a in "xyz" for k in ("offset", "scale"))), "subject_id", "left")
     new = {a: calibrated(a, F.coalesce(f"{a}_offset", F.lit(0.0)), F.coalesce(f"{a}_scale", F.lit(1.0))) for a in "xyz"}
-    return rows.withColumns(new).select(xyz.columns)
+    return rows.withColumns(new).select(*(F.col(c).alias(c, metadata={"calibrated": True}) if c in ("x", "y", "z") else c for c in xyz.columns))
 
 
 class Posture:
@@ -152,32 +175,52 @@ class Posture:
     def __init__(self, stand: float = 32.0, sit: float = 22.0, hold: float = 10.0):
         self.stand, self.sit, self.hold = stand, sit, hold
 
-    def classify(self, us: np.ndarray, pitch: np.ndarray) -> np.ndarray:
-        out, state, run, begin = np.zeros(len(pitch), np.int8), 0, None, 0
-        for i, (t, p) in enumerate(zip(us.tolist(), pitch.tolist(), strict=True)):
-            turning = p >= self.stand if state == 0 else p <= self.sit
-            if not turning:
-                run = None
-            elif run is None:
-                run, begin = t, i
-            if run is not None and t - run >= self.hold * SECOND:
-                state, run = 1 - state, None
-                out[begin:i] = state
-            out[i] = state
-        return out
+    def classify(self, us: np.ndarray, pitch: np.ndarray, state: int = 0) -> tuple[np.ndarray, int, int]:
+        """The posture of each sample after a state; also the last state, and the place where a run begins that the next
+        samples may still turn into a change (their number if there is none)."""
+        out, at, n = np.zeros(len(pitch), np.int8), 0, len(pitch)
+        runs = [self._runs(us, pitch >= self.stand), self._runs(us, pitch <= self.sit)]
+        while True:
+            begin, turn = runs[state]
+            k = int(np.searchsorted(begin, at))
+            while k < len(turn) and turn[k] < 0:
+                k += 1
+            if k == len(turn):
+                break
+            out[at : begin[k]] = state
+            state, at = 1 - state, int(begin[k])
+        out[at:] = state
+        begin, turn = runs[state]
+        turning = (pitch >= self.stand if state == 0 else pitch <= self.sit)[-1:].any()
+        return out, state, int(begin[-1]) if turning and len(begin) and turn[-1] < 0 and begin[-1] >= at else n
+
+    def _runs(self, us: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of flags begin, and the sample at which each has lasted long enough (-1: it doesn't)."""
+        edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        turn = np.searchsorted(us, us[begin] + self.hold * SECOND) if len(begin) else begin
+        return begin, np.where(turn < end, turn, -1)
 
 
 def posture(samples: DataFrame, **limits: float) -> DataFrame:
-    """Posture of each sample of pitch records, in order of time: sequential, so one task a record."""
+    """Posture of each sample of pitch records, in order of time: sequential, so one task a record, in bounded batches."""
     rule = Posture(**limits)
     kind = samples.schema["subject_id"].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", kind="stable")
-        return pdf.assign(posture=rule.classify(pdf["us"].to_numpy(), pdf["value"].to_numpy()).astype("int32"))[["subject_id", "channel", "us", "posture"]]
+    def start():
+        state = 0
+
+        def step(pdf: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+            nonlocal state
+            found, after, open_ = rule.classify(pdf["us"].to_numpy(), pdf["value"].to_numpy(float), state)
+            cut = len(pdf) if last else open_
+            state = after
+            return pdf.iloc[:cut].assign(posture=found[:cut].astype("int32"))[["subject_id", "channel", "us", "posture"]], pdf.iloc[cut:]
+
+        return step
 
     rows = samples.where(~F.col("missing")).select(*KEYS, micros("ts").alias("us"), "value")
-    return rows.groupBy(*KEYS).applyInPandas(one, f"subject_id {kind}, channel string, us long, posture int").select(*KEYS, instant("us").alias("ts"), "posture")
+    return along_records(rows, start, f"subject_id {kind}, channel string, us long, posture int").select(*KEYS, instant("us").alias("ts"), "posture")
 
 
 def running_gap(samples: DataFrame) -> DataFrame:

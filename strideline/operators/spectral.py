@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,7 +56,8 @@ def tumbling_spectra(samples: DataFrame, width: int, rate: float, statistics: li
 
     rows = samples.where(~F.col("missing")).select(*KEYS, micros("ts").alias("us"), "value")
     first = rows.groupBy(*KEYS).agg((F.floor(F.min("us") / DAY) * DAY).alias("lo"), F.max("us").alias("last"))
-    placed = rows.join(first, KEYS).withColumn("window_us", (F.col("lo") + F.floor((F.col("us") - F.col("lo")) / width) * width).cast("long"))
+    based = rows.withColumn("lo", F.lit(0).cast("long")) if DAY % width == 0 else rows.join(first.select(*KEYS, "lo"), KEYS)
+    placed = based.withColumn("window_us", (F.col("lo") + F.floor((F.col("us") - F.col("lo")) / width) * width).cast("long"))
     schema = f"subject_id {kind}, channel string, window_us long, " + ", ".join(f"`{c}` double" for c in columns)
     done = placed.select(*KEYS, "window_us", "us", "value").groupBy(*KEYS, "window_us").applyInPandas(one, schema)
     end = F.floor(F.col("last") / DAY) * DAY + DAY - 1
@@ -76,25 +79,86 @@ def butterworth(order: int, cutoff: float, rate: float, high: bool) -> tuple[np.
     return b * gain, a
 
 
+class Filter:
+    """A causal recursive filter (direct form II, transposed) that keeps its state from one call to the next.
+
+    Values go in blocks: within one, the output is a product with the impulse response plus what the state lets ring on.
+    """
+
+    def __init__(self, b: np.ndarray, a: np.ndarray, block: int = 128):
+        order = len(b) - 1
+        step, drive = np.zeros((order, order)), b[1:] - a[1:] * b[0]
+        step[:, 0] -= a[1:]
+        step[: order - 1, 1:] += np.eye(order - 1)
+        powers = [np.eye(order)]
+        for _ in range(block):
+            powers.append(step @ powers[-1])
+        ring = np.array([p[0] for p in powers[:block]])
+        response = np.concatenate([[b[0]], ring[: block - 1] @ drive])
+        lag = np.arange(block)[:, None] - np.arange(block)
+        self.block, self.ring, self.last = block, ring, powers[block]
+        self.response = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+        self.enter = np.array([powers[block - 1 - j] @ drive for j in range(block)]).T
+        self.step, self.drive, self.gain, self.state = step, drive, b[0], np.zeros(order)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        n, size = len(values) // self.block, self.block
+        whole = values[: n * size].reshape(n, size)
+        out, entering = whole @ self.response.T, whole @ self.enter.T
+        states = np.empty((n, len(self.state)))
+        for i in range(n):
+            states[i] = self.state
+            self.state = self.last @ self.state + entering[i]
+        out = (out + states @ self.ring.T).ravel()
+        tail = np.empty(len(values) - n * size)
+        for i, x in enumerate(values[n * size :].tolist()):
+            tail[i] = self.gain * x + self.state[0]
+            self.state = self.step @ self.state + self.drive * x
+        return np.concatenate([out, tail])
+
+
 def filtered(values: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """The causal recursive filter with nothing before the first value (direct form II, transposed)."""
-    state, out = np.zeros(len(b)), np.empty(len(values))
-    for i, x in enumerate(values.tolist()):
-        y = b[0] * x + state[0]
-        state[:-1] = state[1:] + b[1:] * x - a[1:] * y
-        out[i] = y
-    return out
+    """The filter with nothing before the first value."""
+    return Filter(b, a)(np.asarray(values, float))
 
 
 def _filter(samples: DataFrame, b: np.ndarray, a: np.ndarray) -> DataFrame:
     kind = samples.schema["subject_id"].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", kind="stable")
-        return pdf.assign(value=filtered(pdf["value"].to_numpy(float), b, a))
+    def start():
+        rule = Filter(b, a)
+        return lambda pdf, last: (pdf.assign(value=rule(pdf["value"].to_numpy(float))), None)
 
     rows = samples.where(~F.col("missing")).select(*KEYS, micros("ts").alias("us"), "value")
-    return rows.groupBy(*KEYS).applyInPandas(one, f"subject_id {kind}, channel string, us long, value double").select(*KEYS, instant("us").alias("ts"), "value", F.lit(False).alias("missing"))
+    done = along_records(rows, start, f"subject_id {kind}, channel string, us long, value double")
+    return done.select(*KEYS, instant("us").alias("ts"), "value", F.lit(False).alias("missing"))
+
+
+def along_records(rows: DataFrame, start: Callable, schema: str) -> DataFrame:
+    """Each record's rows in order of us through a function with state, batch by batch, so that no record is held whole.
+
+    start() gives a record's function of (rows, whether they are its last): the rows to hand on, and those to see again
+    at the front of the next batch. rows: subject_id, channel, us and more. A record is one task's work.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rule, held = None, None, None
+        for batch in batches:
+            key = batch["subject_id"].astype("string").fillna("\0") + "\1" + batch["channel"].astype("string").fillna("\0")
+            edges = [0, *(np.flatnonzero((key.to_numpy()[1:] != key.to_numpy()[:-1])) + 1).tolist(), len(batch)] if len(batch) else [0]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if key.iloc[x] != now:
+                    if held is not None and len(held):
+                        yield rule(held, True)[0]
+                    now, rule, held = key.iloc[x], start(), None
+                part = batch.iloc[x:y]
+                done, held = rule(part if held is None or not len(held) else pd.concat([held, part]), False)
+                if len(done):
+                    yield done
+        if held is not None and len(held):
+            yield rule(held, True)[0]
+
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "us").mapInPandas(run, schema)
 
 
 def low_pass(samples: DataFrame, cutoff: float, rate: float, order: int = 1) -> DataFrame:

@@ -8,16 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DAY, KEYS, instant, micros
+from .bouts import in_us, union
 
 #: What masked samples show in files.
 MASKED = -111.0
 
 
+def _with_range(samples: DataFrame) -> DataFrame:
+    """samples with lo and hi, their record's least and greatest value: aggregated first, so that no record is gathered."""
+    ends = samples.groupBy(*(F.col(k).alias(f"record_{k}") for k in KEYS)).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"record_{k}")) for k in KEYS))
+    return samples.join(ends, same, "left").drop(*(f"record_{k}" for k in KEYS))
+
+
 def normalise(samples: DataFrame, floor: float = 0.0, ceiling: float = 1.0) -> DataFrame:
     """Values of each record scaled linearly to floor..ceiling; null where a record is constant."""
-    record = Window.partitionBy(*KEYS)
-    lo, hi = F.min("value").over(record), F.max("value").over(record)
-    return samples.withColumn("value", (F.col("value") - lo) / F.nullif(hi - lo, F.lit(0.0)) * (ceiling - floor) + floor)
+    lo, hi = F.col("lo"), F.col("hi")
+    value = (F.col("value") - lo) / F.nullif(hi - lo, F.lit(0.0)) * (ceiling - floor) + floor
+    return _with_range(samples).withColumn("value", value).select(samples.columns)
 
 
 def collapse(samples: DataFrame, ranges: list[tuple[float, float, float]]) -> DataFrame:
@@ -28,20 +36,26 @@ def collapse(samples: DataFrame, ranges: list[tuple[float, float, float]]) -> Da
 
 def collapse_auto(samples: DataFrame, bins: int = 10) -> DataFrame:
     """Values replaced by the number, from 0, of their bin of equal width over a record's range."""
-    record = Window.partitionBy(*KEYS)
-    lo, hi = F.min("value").over(record), F.max("value").over(record)
-    return samples.withColumn("value", F.coalesce(F.least(F.floor((F.col("value") - lo) / F.nullif((hi - lo) / bins, F.lit(0.0))), F.lit(bins - 1)), F.lit(0)).cast("double"))
+    lo, hi = F.col("lo"), F.col("hi")
+    bin_ = F.floor((F.col("value") - lo) / F.nullif((hi - lo) / bins, F.lit(0.0)))
+    value = F.coalesce(F.least(bin_, F.lit(bins - 1)), F.lit(0)).cast("double")
+    return _with_range(samples).withColumn("value", value).select(samples.columns)
 
 
 def _inside(samples: DataFrame, windows: DataFrame, coarse: int) -> DataFrame:
-    """samples with inside: whether a window (subject_id, start_ts, end_ts) has them. Windows meet samples by coarse time."""
-    cut = windows.select("subject_id", micros("start_ts").alias("a"), micros("end_ts").alias("b")).where("a < b")
-    cut = cut.withColumn("part", F.explode(F.sequence(F.floor(F.col("a") / coarse), F.floor((F.col("b") - 1) / coarse))))
-    # A list of windows for each subject and coarse interval, so that no sample comes twice.
-    listed = cut.groupBy("subject_id", "part").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
-    rows = samples.withColumns({"us": micros("ts"), "part": F.floor(micros("ts") / coarse)}).join(listed, ["subject_id", "part"], "left")
-    hit = F.coalesce(F.exists("windows", lambda w: (F.col("us") >= w.a) & (F.col("us") < w.b)), F.lit(False))
-    return rows.withColumn("inside", hit).drop("us", "part", "windows")
+    """samples with inside: whether a window (subject_id, start_ts, end_ts) has them.
+
+    Windows are merged and cut at coarse intervals of time. In each interval of a subject samples and window starts are
+    sorted together, and the last start before a sample says whether it is inside: no sample meets more than one window.
+    """
+    merged = in_us(union(windows, windows))
+    cut = merged.withColumn("part", F.explode(F.sequence(F.floor(F.col("a") / coarse), F.floor((F.col("b") - 1) / coarse))))
+    starts = cut.select("subject_id", "part", F.greatest(F.col("a"), F.col("part") * coarse).alias("us"), F.lit(0).alias("order"), F.col("b").alias("until"))
+    rows = samples.select(F.struct(*samples.columns).alias("row"), "subject_id", micros("ts").alias("us"), F.lit(1).alias("order"))
+    rows = rows.withColumn("part", F.floor(F.col("us") / coarse))
+    sweep = Window.partitionBy("subject_id", "part").orderBy("us", "order").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(starts, allowMissingColumns=True).withColumn("open", F.last("until", ignorenulls=True).over(sweep))
+    return both.where("order = 1").select("row.*", F.coalesce(F.col("us") < F.col("open"), F.lit(False)).alias("inside"))
 
 
 def fill_windows(samples: DataFrame, windows: DataFrame, value: float, coarse: int = DAY) -> DataFrame:
@@ -79,9 +93,10 @@ def resample(samples: DataFrame, step: int) -> DataFrame:
 
     Each pair of neighbours gives the grid points from the first of them to before the second: one sort, no join.
     """
-    order, record = Window.partitionBy(*KEYS).orderBy("us"), Window.partitionBy(*KEYS)
+    order = Window.partitionBy(*KEYS).orderBy("us")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = samples.where(~F.col("missing")).select(*KEYS, micros("ts").alias("us"), "value")
-    rows = rows.select(*KEYS, "us", "value", F.min("us").over(record).alias("zero"), F.lead("us").over(order).alias("us2"), F.lead("value").over(order).alias("value2")).where("us2 > us")
+    rows = rows.select(*KEYS, "us", "value", F.min("us").over(so_far).alias("zero"), F.lead("us").over(order).alias("us2"), F.lead("value").over(order).alias("value2")).where("us2 > us")
     first, last = F.ceil((F.col("us") - F.col("zero")) / step), F.ceil((F.col("us2") - F.col("zero")) / step) - 1
     rows = rows.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("k"))
     at = F.col("zero") + F.col("k") * step

@@ -6,11 +6,13 @@ timestamp is empty unless the record has one timestamp only, as users of such re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DAY, KEYS, instant, micros
-from ..spec import Bigrams, aggregates, names, rendered
+from ..spec import Bigrams, Percentiles, aggregates, names, rendered
 
 #: A summary's window goes this far beyond the last sample.
 BEYOND = 1111 * DAY
@@ -25,12 +27,32 @@ def _ends(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
-def _previous(rows: DataFrame, statistics: list, *keys: str) -> DataFrame:
-    """With the value of the valid sample before, within the keys, if a request needs it."""
-    if not any(isinstance(s, Bigrams) for s in statistics):
-        return rows
-    # Valid and missing samples are apart, so that a gap doesn't end a transition.
-    return rows.withColumn("previous", F.lag("value").over(Window.partitionBy(*keys, "missing").orderBy("us")))
+def _aggregated(rows: DataFrame, statistics: list, signal: str, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """The statistics of each group of keys. Order-dependent requests sort a group, which can spill, and hold no values."""
+    # Valid and missing samples are apart, so that a gap neither ends a transition nor has a rank.
+    apart = Window.partitionBy(*keys, "missing")
+    if any(isinstance(s, Bigrams) for s in statistics):
+        rows = rows.withColumn("previous", F.lag("value").over(apart.orderBy("us")))
+    if any(isinstance(s, Percentiles) for s in statistics):
+        sizes = rows.where(~F.col("missing")).groupBy(*keys).agg(F.count("*").alias("ranks"))
+        rows = rows.withColumn("rank", F.row_number().over(apart.orderBy("value"))).join(sizes, list(keys), "left")
+    return rows.groupBy(*keys).agg(*more, *aggregates(signal, statistics, ranked=True))
+
+
+def per_channel(samples: DataFrame, requests: dict[str, list], compute: Callable[[DataFrame, list, str], DataFrame]) -> DataFrame:
+    """One wide table from requests by channel: compute(samples of a channel, its statistics, its name) for each.
+
+    Results meet on the subject and the window; columns have their channel's name, and stay null where a channel has no
+    such window. A channel without samples has no columns' values.
+    """
+    out = None
+    for channel, statistics in requests.items():
+        own = compute(samples.where(F.col("channel") == channel), statistics, channel).drop("channel")
+        keys = [c for c in ("subject_id", "ts", "end_ts") if c in own.columns]
+        out = own if out is None else out.join(own, keys, "full")
+    if out is None:
+        raise ValueError("no channel is asked for")
+    return out
 
 
 def tumbling(samples: DataFrame, width: int, statistics: list, period: tuple[Column, Column] | None = None, signal: str = "value", last_sample: bool = True) -> DataFrame:
@@ -55,8 +77,7 @@ def tumbling(samples: DataFrame, width: int, statistics: list, period: tuple[Col
     else:
         rows = rows.join(ends.select(*KEYS, "lo"), KEYS)
     placed = rows.withColumn("window_us", F.col("lo") + (F.floor((F.col("us") - F.col("lo")) / width) * width).cast("long"))
-    placed = _previous(placed, statistics, *KEYS, "window_us")
-    done = placed.groupBy(*KEYS, "window_us").agg(*aggregates(signal, statistics))
+    done = _aggregated(placed, statistics, signal, *KEYS, "window_us")
     spine = ends.where("lo < hi").select(*KEYS, "first_us", "last_us", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(width).cast("long"))).alias("window_us"))
     # A window that begins at the last sample has no other sample.
     at_last = (F.col("window_us") == F.col("last_us")) & (F.col("first_us") < F.col("last_us")) if last_sample else F.lit(False)
@@ -65,11 +86,19 @@ def tumbling(samples: DataFrame, width: int, statistics: list, period: tuple[Col
     return joined.select(*KEYS, instant("window_us").alias("ts"), *rendered(signal, statistics))
 
 
-def summary(samples: DataFrame, statistics: list, signal: str = "value") -> DataFrame:
-    """One window over each whole record, its last sample included."""
-    rows = _previous(_ready(samples), statistics, *KEYS)
-    done = rows.groupBy(*KEYS).agg(F.min("us").alias("first_us"), *aggregates(signal, statistics))
-    return done.select(*KEYS, instant("first_us").alias("ts"), *rendered(signal, statistics))
+def summary(samples: DataFrame, statistics: list, signal: str = "value", period: tuple[Column, Column] | None = None) -> DataFrame:
+    """One window over each whole record, its last sample included, or over a period (two TIMESTAMP_NTZ literals).
+
+    A period's end is excluded; a record without samples in it is an empty window at the period's start.
+    """
+    rows = _ready(samples)
+    if period is None:
+        done = _aggregated(rows, statistics, signal, *KEYS, more=(F.min("us").alias("first_us"),))
+        return done.select(*KEYS, instant("first_us").alias("ts"), *rendered(signal, statistics))
+    lo, hi = micros(period[0]), micros(period[1])
+    inside = rows.where((F.col("us") >= lo) & (F.col("us") < hi))
+    done = _aggregated(inside, statistics, signal, *KEYS)
+    return rows.select(*KEYS).distinct().join(done, KEYS, "left").select(*KEYS, period[0].alias("ts"), *rendered(signal, statistics))
 
 
 def given(samples: DataFrame, windows: DataFrame, statistics: list, signal: str = "value", last_sample: bool = True, coarse: int = DAY) -> DataFrame:
@@ -79,23 +108,23 @@ def given(samples: DataFrame, windows: DataFrame, statistics: list, signal: str
     one interval, so no pair comes twice.
     """
     rows = _ready(samples)
-    rows = rows.join(_ends(rows), KEYS) if last_sample else rows
     listed = windows.select("subject_id", micros("start_ts").alias("a"), micros("end_ts").alias("b")).distinct()
     cut = listed.where("a < b").withColumn("part", F.explode(F.sequence(F.floor(F.col("a") / coarse), F.floor((F.col("b") - 1) / coarse))))
     placed = rows.withColumn("part", F.floor(F.col("us") / coarse)).join(cut, ["subject_id", "part"]).where((F.col("us") >= F.col("a")) & (F.col("us") < F.col("b")))
-    at_last = (F.col("us") == F.col("last_us")) & (F.col("a") == F.col("last_us")) & (F.col("first_us") < F.col("last_us")) if last_sample else F.lit(False)
-    placed = placed.where(~at_last)
-    placed = _previous(placed, statistics, *KEYS, "a", "b")
-    done = placed.groupBy(*KEYS, "a", "b").agg(*aggregates(signal, statistics))
-    records = rows.select(*KEYS).distinct()
-    return listed.join(records, "subject_id").join(done, [*KEYS, "a", "b"], "left").select(*KEYS, instant("a").alias("ts"), instant("b").alias("end_ts"), *rendered(signal, statistics))
+    done = _aggregated(placed.select(*KEYS, "us", "value", "missing", "a", "b"), statistics, signal, *KEYS, "a", "b")
+    # A window that begins at a record's last sample has no other one, and is left empty.
+    spine = listed.join(_ends(rows), "subject_id")
+    at_last = (F.col("a") == F.col("last_us")) & (F.col("first_us") < F.col("last_us")) if last_sample else F.lit(False)
+    spine = spine.select(*KEYS, "a", "b", F.when(~at_last, F.col("a")).alias("from_us"))
+    joined = spine.join(done.withColumnRenamed("a", "from_us"), [*KEYS, "from_us", "b"], "left")
+    return joined.select(*KEYS, instant("a").alias("ts"), instant("b").alias("end_ts"), *rendered(signal, statistics))
 
 
 def by_index(samples: DataFrame, first: int, last: int, statistics: list, signal: str = "value") -> DataFrame:
     """One window of samples number first to last - 1 of each record, from 0."""
     rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy("us")) - 1
     rows = _ready(samples).withColumn("i", rank).where(F.col("i").between(first, last - 1))
-    done = _previous(rows, statistics, *KEYS).groupBy(*KEYS).agg(F.min("us").alias("first_us"), *aggregates(signal, statistics))
+    done = _aggregated(rows.drop("i"), statistics, signal, *KEYS, more=(F.min("us").alias("first_us"),))
     return done.select(*KEYS, instant("first_us").alias("ts"), *rendered(signal, statistics))
 
 

@@ -5,63 +5,18 @@ The signal is events.value, a record is a user. Doubles are rounded to six decim
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signals as S
-from ..model import DAY, HOUR, SECOND, append, instant, micros, pin_utc, samples_from, timeframe, wide
-from ..operators import batch, inference, spectral, values, windows
+from ..model import DAY, HOUR, SECOND, append, instant, micros, samples_from, timeframe, wide
+from ..operators import batch, inference, values, windows
 from ..operators import bouts as B
-from ..spec import Bigrams, Cutpoints, FrequencyRanges, Generic, Percentiles, TopFrequencies, dictionary
+from ..spec import Bigrams, Cutpoints, Generic, Percentiles, dictionary
+from .registry import ORACLES, QUERIES, SQL_VM, SQL_XYZ, axes, events, ntz, query, seconds, signal, sql_bouts, triaxial
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 TYPES = ["click", "error", "login", "purchase", "view"]
 
 
-def query(sql: str | None = None, exact: bool = False):
-    """Registers a query under its function's name, with its DuckDB statement if there is one; exact: nothing is rounded."""
-
-    def register(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            pin_utc(spark)
-            return fn(spark, sf_dir) if exact else rounded(fn(spark, sf_dir))
-
-        QUERIES[fn.__name__] = run
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(f"`{c}`", 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
-
-
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples_from(events(spark, sf_dir), "user_id", "ts", value="value")
-
-
-def triaxial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """x, y, z of embeddings, one sample a second, ten records."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    at = instant(F.lit(1704067200 * SECOND).cast("long") + F.col("vec_id").cast("long") * SECOND)
-    return e.select((F.col("vec_id") % 10).alias("subject_id"), at.alias("ts"), *(F.get("embedding", F.lit(i)).cast("double").alias(a) for i, a in enumerate("xyz")))
-
-
-def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples_from(triaxial(spark, sf_dir), "subject_id", "ts", x="x", y="y", z="z")
-
-
-def ntz(text: str):
-    return F.lit(text).cast("timestamp_ntz")
-
-
 def active(spark, sf_dir):
     return B.bouts(signal(spark, sf_dir), 20, 80).select(*B.INTERVAL)
 
@@ -77,13 +32,6 @@ def days(spark, sf_dir):
 
 
 # Parts of the DuckDB statements.
-def sql_bouts(low: float, high: float, source: str = "events", name: str = "bouts") -> str:
-    return f"""{name}_f AS (SELECT user_id AS subject_id, ts, value BETWEEN {low} AND {high} AS f, coalesce(lead(ts) OVER w, ts + coalesce(ts - lag(ts) OVER w, INTERVAL 0 SECOND)) AS nxt,
-  coalesce(lag(value BETWEEN {low} AND {high}) OVER w, false) AS before FROM {source} WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-{name}_i AS (SELECT *, sum(CASE WHEN f AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM {name}_f),
-{name} AS (SELECT subject_id, min(ts) AS start_ts, max(nxt) AS end_ts FROM {name}_i WHERE f GROUP BY subject_id, run)"""
-
-
 def sql_complement(name: str, of: str) -> str:
     return f"""{name} AS (SELECT o.subject_id, coalesce(lag(o.end_ts) OVER (PARTITION BY o.subject_id ORDER BY o.start_ts), p.lo) AS start_ts, o.start_ts AS end_ts FROM {of} o JOIN periods p USING (subject_id)
   UNION ALL SELECT p.subject_id, coalesce(max(o.end_ts), p.lo), p.hi FROM periods p LEFT JOIN {of} o USING (subject_id) GROUP BY p.subject_id, p.lo, p.hi)"""
@@ -94,10 +42,6 @@ def sql_intersection(name: str, a: str, b: str) -> str:
   ON a.subject_id = b.subject_id AND greatest(a.start_ts, b.start_ts) < least(a.end_ts, b.end_ts))"""
 
 
-def seconds(a: str = "start_ts", b: str = "end_ts") -> str:
-    return f"((epoch_us({b}) - epoch_us({a})) / 1000000.0)"
-
-
 SQL_PERIODS = "periods AS (SELECT user_id AS subject_id, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY user_id)"
 SQL_DAYS = "days AS (SELECT user_id AS subject_id, unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS start_ts FROM events GROUP BY user_id)"
 SQL_ENDS = "ends AS (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY user_id)"
@@ -310,16 +254,12 @@ def normalise(spark, sf_dir):
     return values.normalise(signal(spark, sf_dir), -5, 5)
 
 
-SQL_XYZ = "xyz AS (SELECT vec_id % 10 AS subject_id, TIMESTAMP '2024-01-01 00:00:00' + vec_id * INTERVAL 1 SECOND AS ts, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
-SQL_VM = "sqrt(x * x + y * y + z * z)"
-
-
 @query(f"""WITH {SQL_XYZ} SELECT subject_id, ts, round({SQL_VM}, 6) AS vm, round(greatest(({SQL_VM} - 1) * 1000, 0), 6) AS enmo, round(abs(({SQL_VM} - 1) * 1000), 6) AS enmo_a,
-round(degrees(atan2(x, sqrt(y * y + z * z))), 6) AS pitch, round(degrees(atan2(y, sqrt(x * x + z * z))), 6) AS roll, round(x / nullif({SQL_VM}, 0), 6) AS sphere_x, round(0.01 + x * 1.02, 6) AS calibrated, round(x, 6) AS uncalibrated FROM xyz""")
+round(degrees(atan2(x, sqrt(y * y + z * z))), 6) AS pitch, round(degrees(atan2(y, sqrt(x * x + z * z))), 6) AS roll, round(x / nullif({SQL_VM}, 0), 6) AS sphere_x, round(y / nullif({SQL_VM}, 0), 6) AS sphere_y, round(z / nullif({SQL_VM}, 0), 6) AS sphere_z, round(0.01 + x * 1.02, 6) AS calibrated, round(x, 6) AS uncalibrated FROM xyz""")
 def vm_enmo_pitch_roll(spark, sf_dir):
     rows = triaxial(spark, sf_dir).withColumn("vm", S.vector_magnitude("x", "y", "z"))
     fixed = S.calibrated("x", F.lit(0.01), F.lit(1.02))
-    return rows.select("subject_id", "ts", "vm", S.enmo("vm").alias("enmo"), S.enmo_a("vm").alias("enmo_a"), S.pitch("x", "y", "z").alias("pitch"), S.roll("x", "y", "z").alias("roll"), S.on_sphere("x", "y", "z")["x"].alias("sphere_x"), fixed.alias("calibrated"), S.uncalibrated(fixed, F.lit(0.01), F.lit(1.02)).alias("uncalibrated"))
+    return rows.select("subject_id", "ts", "vm", S.enmo("vm").alias("enmo"), S.enmo_a("vm").alias("enmo_a"), S.pitch("x", "y", "z").alias("pitch"), S.roll("x", "y", "z").alias("roll"), *(S.on_sphere("x", "y", "z")[a].alias(f"sphere_{a}") for a in "xyz"), fixed.alias("calibrated"), S.uncalibrated(fixed, F.lit(0.01), F.lit(1.02)).alias("uncalibrated"))
 
 
 def _still_sql() -> str:
@@ -350,11 +290,6 @@ def calibration_rmse(spark, sf_dir):
     return inference.calibration_error(points(spark, sf_dir))
 
 
-@query()
-def calibrate(spark, sf_dir):
-    return inference.calibrate(points(spark, sf_dir))
-
-
 @query(f"""WITH {SQL_PERIODS}, {sql_bouts(20, 80)}, g AS (SELECT subject_id, lo, unnest(generate_series(0, CAST(floor((epoch_us(hi) - epoch_us(lo)) / 3600000000.0) AS BIGINT) - 1)) AS i FROM periods), t AS (SELECT subject_id, lo + i * INTERVAL 1 HOUR AS ts FROM g)
 SELECT subject_id, ts, CAST(CASE WHEN EXISTS (SELECT 1 FROM bouts b WHERE b.subject_id = t.subject_id AND t.ts BETWEEN b.start_ts AND b.end_ts) THEN 1 ELSE 0 END AS DOUBLE) AS value FROM t""")
 def bout_raster(spark, sf_dir):
@@ -375,10 +310,17 @@ def append_union(spark, sf_dir):
     return timeframe(both).join(both.groupBy("subject_id", "channel").agg(F.count("*").alias("n")), ["subject_id", "channel"])
 
 
-@query("""SELECT user_id AS subject_id, ts, round(sin((hour(ts) * 60 + minute(ts)) * 2 * pi() / 1440), 6) AS sine, round(cos((hour(ts) * 60 + minute(ts)) * 2 * pi() / 1440), 6) AS cosine, date_trunc('hour', ts) AS hour_start,
-date_trunc('minute', ts) + INTERVAL 1 MINUTE - INTERVAL 1 MICROSECOND AS minute_end, ts = date_trunc('day', ts) AS midnight FROM events""")
+_UNITS = ("day", "hour", "minute")
+_STARTS = ", ".join(f"date_trunc('{u}', ts) AS {u}_start, date_trunc('{u}', ts) + INTERVAL 1 {u} - INTERVAL 1 MICROSECOND AS {u}_end" for u in _UNITS)
+
+
+@query(f"""SELECT user_id AS subject_id, ts, round(sin((hour(ts) * 60 + minute(ts)) * 2 * pi() / 1440), 6) AS sine,
+round(cos((hour(ts) * 60 + minute(ts)) * 2 * pi() / 1440), 6) AS cosine, {_STARTS}, ts = date_trunc('day', ts) AS midnight FROM events""")
 def diurnal(spark, sf_dir):
-    return events(spark, sf_dir).select(F.col("user_id").alias("subject_id"), "ts", S.sine_wave("ts").alias("sine"), S.cosine_wave("ts").alias("cosine"), S.start_of("hour", "ts").alias("hour_start"), S.end_of("minute", "ts").alias("minute_end"), S.is_midnight("ts").alias("midnight"))
+    bounds = [c for u in _UNITS for c in (S.start_of(u, "ts").alias(f"{u}_start"), S.end_of(u, "ts").alias(f"{u}_end"))]
+    return events(spark, sf_dir).select(
+        F.col("user_id").alias("subject_id"), "ts", S.sine_wave("ts").alias("sine"), S.cosine_wave("ts").alias("cosine"), *bounds, S.is_midnight("ts").alias("midnight")
+    )
 
 
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time, CAST(day(ts) AS INTEGER) AS day, CAST(month(ts) AS INTEGER) AS month, CAST(year(ts) AS INTEGER) AS year, CAST(dayofweek(ts) AS INTEGER) AS dow, CAST(dayofyear(ts) AS INTEGER) AS doy FROM events""")
@@ -410,27 +352,18 @@ def wear_proportions(spark, sf_dir):
     return batch.proportions(cuts.join(wear, "subject_id"), ["value_20_80"], "wear_sum").select("subject_id", "value_20_80")
 
 
-@query("SELECT * FROM (VALUES ('value_mean', 'Mean of value'), ('value_0_20', 'Samples of value from 0 to 20'), ('value_p11', '11th percentile of value'), ('value_p22', '22nd percentile of value'), ('value_1tr2', 'Transitions of value from 1 to 2')) AS t(name, meaning)")
-def data_dictionary(spark, sf_dir):
-    rows = dictionary("value", [Generic(("mean",)), Cutpoints(((0, 20),)), Percentiles((11, 22)), Bigrams((1, 2))])
-    kept = [r for r in rows if r[0] in ("value_mean", "value_0_20", "value_p11", "value_p22", "value_1tr2")]
-    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS name, '{m}' AS meaning" for n, m in kept))
-
-
-@query()
-def fft_stats(spark, sf_dir):
-    return spectral.tumbling_spectra(axes(spark, sf_dir), HOUR, 0.1, [FrequencyRanges(((0.001, 0.02),)), TopFrequencies(3)], "axis")
-
+_MEANINGS = {
+    "value_mean": "Mean of value", "value_missing": "Number of missing samples of value", "value_0_20": "Samples of value from 0 to 20", "value_p11": "11th percentile of value", "value_p22": "22nd percentile of value",
+    "value_1tr1": "Transitions of value from 1 to 1", "value_1tr2": "Transitions of value from 1 to 2", "value_2tr1": "Transitions of value from 2 to 1", "value_2tr2": "Transitions of value from 2 to 2",
+}
 
-@query()
-def hpf_vm(spark, sf_dir):
-    rows = triaxial(spark, sf_dir)
-    return spectral.magnitude_high_pass(samples_from(rows, "subject_id", "ts", vm=S.vector_magnitude("x", "y", "z")), 1.0)
 
+@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {chr(39)}{m}{chr(39)})' for n, m in _MEANINGS.items())}) AS t(name, meaning)")
+def data_dictionary(spark, sf_dir):
+    kept = dictionary("value", [Generic(("mean", "missing")), Cutpoints(((0, 20),)), Percentiles((11, 22)), Bigrams((1, 2))])
+    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS name, '{m}' AS meaning" for n, m in kept))
 
-@query()
-def posture(spark, sf_dir):
-    rows = triaxial(spark, sf_dir)
-    return inference.posture(samples_from(rows, "subject_id", "ts", pitch=S.pitch("x", "y", "z")), stand=10.0, sit=0.0, hold=10.0)
 
+from . import inferred, recorded  # noqa: E402, F401  (they register their queries here, too)
 
+__all__ = ["ORACLES", "QUERIES"]

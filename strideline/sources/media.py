@@ -6,7 +6,8 @@ import io
 import wave
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEYS, instant, micros
@@ -31,6 +32,17 @@ def shaded(bouts: DataFrame, labels: str = "bout") -> DataFrame:
     return bouts.select("subject_id", F.lit(labels).alias("label"), *INTERVAL[1:])
 
 
+def annotated(annotations: DataFrame, points: DataFrame) -> DataFrame:
+    """Annotations (subject_id, ts, text) with the height to draw them at: the mean of the envelope's part they fall in.
+
+    points: an envelope. An annotation before a record's first part has no height.
+    """
+    marks = annotations.select("subject_id", "ts", "text", F.lit(1).alias("order"))
+    both = points.select("subject_id", "ts", "mean", F.lit(0).alias("order")).unionByName(marks, allowMissingColumns=True)
+    sweep = Window.partitionBy("subject_id").orderBy("ts", "order").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("height", F.last("mean", ignorenulls=True).over(sweep)).where("order = 1").select("subject_id", "ts", "text", "height")
+
+
 def tone(values: np.ndarray, seconds_each: float = 0.02, rate: int = 22050) -> bytes:
     """A WAV file in which each value sounds for a while, its pitch between the two limits by its size."""
     values = np.asarray(values, float)
@@ -44,3 +56,15 @@ def tone(values: np.ndarray, seconds_each: float = 0.02, rate: int = 22050) -> b
         file.setframerate(rate)
         file.writeframes((np.sin(2 * np.pi * phase) * 30000).astype("<i2").tobytes())
     return out.getvalue()
+
+
+def tones(samples: DataFrame, seconds_each: float = 0.02, rate: int = 22050) -> DataFrame:
+    """subject_id, channel and the WAV file (wav) of each record's values in order of time. A record is one task's work."""
+    kind = samples.schema["subject_id"].dataType.simpleString()
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        sound = tone(pdf.sort_values("us", kind="stable")["value"].to_numpy(float), seconds_each, rate)
+        return pd.DataFrame({"subject_id": pdf["subject_id"].iloc[:1], "channel": pdf["channel"].iloc[:1], "wav": [sound]})
+
+    rows = samples.where(~F.col("missing")).select(*KEYS, micros("ts").alias("us"), "value")
+    return rows.groupBy(*KEYS).applyInPandas(one, f"subject_id {kind}, channel string, wav binary")

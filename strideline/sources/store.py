@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,22 @@ def read_bouts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("subject_id", when("s").alias("start_ts"), when("e").alias("end_ts"))
 
 
-def write_table(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Bouts or results as Parquet, to the microsecond."""
+def write_table(rows: DataFrame, path: str, mode: str = "overwrite", attributes: dict | None = None) -> None:
+    """Bouts or results as Parquet, to the microsecond, with attributes beside them if given."""
     rows.write.mode(mode).parquet(path)
+    if attributes:
+        write_attributes(rows.sparkSession, path, attributes)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_attributes(spark: SparkSession, path: str, attributes: dict) -> None:
+    """What belongs to a stored table as a whole (parameters, diagnostics, headers), as JSON beside it."""
+    rows = [(str(k), json.dumps(v, default=str)) for k, v in attributes.items()]
+    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}.attributes")
+
+
+def read_attributes(spark: SparkSession, path: str) -> dict:
+    return {r.name: json.loads(r.value) for r in spark.read.schema("name string, value string").json(f"{path}.attributes").collect()}

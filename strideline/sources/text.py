@@ -1,7 +1,8 @@
 """Text recordings: Actigraph counts, Actiheart, activPAL, GeneActiv and GT3X+ CSV, generic CSV and XLO tables.
 
-Each reader takes a path or pattern and returns samples whose subject_id is the file name. Files are the unit of
-parallelism where a header sets the clock; line-based formats whose lines carry their own time are read line by line.
+A parser takes a recording's name and text and yields samples and a header; readers apply it to files, or to a table of
+recordings (name, value). Formats whose header sets the clock are parsed by file; formats whose lines carry their own
+time are read line by line, so their files can be split.
 """
 
 from __future__ import annotations
@@ -20,8 +21,14 @@ from ..model import pin_utc
 SAMPLE_SCHEMA = "subject_id string, channel string, us long, value double, missing boolean"
 #: Modes of count files and how many numbers stand for one epoch. Fixed values.
 COUNT_MODES = {0: 1, 1: 2, 3: 2, 4: 2, 5: 3}
-#: Variables of cardio-pulmonary tables that aren't read. Fixed values, by position.
-XLO_SKIPPED = 8
+#: Columns of cardio-pulmonary tables, and how many at the start aren't read. Fixed values.
+XLO_COLUMNS = [
+    "T-body", "Pmean", "Time", "t-ph", "RPM", "Load", "Speed", "Elev.", "VTex", "VTin", "t-ex", "t-in", "BF", "V'E", "V'O2", "V'CO2", "RER", "FIO2", "FICO2", "FEO2", "FECO2", "FETO2", "FETCO2", "PEO2",
+    "PECO2", "PETO2", "PETCO2", "EqO2", "EqCO2", "VDe", "VDc/VT", "VDe/VT",
+]
+XLO_SKIPPED, XLO_HEADER, XLO_EMPTY = 8, 15, "   -    "
+#: A file's name without its extension.
+STEM = r"^(.*?)(?:\.[^.]*)?$"
 
 
 def as_us(t: datetime) -> int:
@@ -38,17 +45,21 @@ def finished(rows: DataFrame) -> DataFrame:
     return rows.select("subject_id", "channel", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.when(~F.isnan("value"), F.col("value")).alias("value"), "missing")
 
 
-def whole_files(spark: SparkSession, path: str, parse: Callable[[str, str], Iterator[pd.DataFrame]]) -> DataFrame:
-    """Samples that parse(subject, text) gives for each file; a file is one task's work."""
-    pin_utc(spark)
+def text_files(spark: SparkSession, path: str) -> DataFrame:
+    """name (without extension) and value (the whole text) of files."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), STEM, 1).alias("name"), "value")
+
+
+def parsed(files: DataFrame, parse: Callable[[str, str], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Samples that parse(subject, text) gives for each recording (name, value); a recording is one task's work."""
+    pin_utc(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, text in zip(batch["name"], batch["value"], strict=True):
                 yield from parse(name, text)
 
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("name"), "value")
-    return finished(files.mapInPandas(run, SAMPLE_SCHEMA))
+    return finished(files.select("name", "value").mapInPandas(run, SAMPLE_SCHEMA))
 
 
 def _clock(text: str) -> timedelta:
@@ -61,8 +72,8 @@ def actigraph_header(lines: list[str], date_format: str = "%d/%m/%Y") -> dict:
     tail = lambda i: lines[i].split()[-1]
     mode = re.search(r"Mode\s*=\s*(\d+)", lines[8])
     return {
-        "version": lines[0].strip(), "serial": tail(1), "start": datetime.strptime(f"{tail(3)} {tail(2)}", f"{date_format} %H:%M:%S"), "epoch": _clock(tail(4)), "download_time": tail(5), "download_date": tail(6),
-        "mode": int(mode[1]) if mode else 0,
+        "version": lines[0].replace("-", "").strip(), "serial": tail(1), "start": datetime.strptime(f"{tail(3).replace('-', '/')} {tail(2)}", f"{date_format} %H:%M:%S"), "epoch": _clock(tail(4)),
+        "download": datetime.strptime(f"{tail(6).replace('-', '/')} {tail(5)}", f"{date_format} %H:%M:%S"), "mode": int(mode[1]) if mode else 0,
     }
 
 
@@ -82,82 +93,95 @@ def parse_actigraph(subject: str, text: str, date_format: str = "%d/%m/%Y") -> I
     yield frame(subject, "AG_Counts", as_us(head["start"]) + step * np.arange(len(values)), values)
 
 
-def read_actigraph(spark: SparkSession, path: str, date_format: str = "%d/%m/%Y") -> DataFrame:
-    return whole_files(spark, path, lambda name, text: parse_actigraph(name, text, date_format))
+def actiheart_header(lines: list[str]) -> dict:
+    """Fields of an Actiheart export, with start, epoch and the index of the first row of data.
+
+    Recording starts at the date and time of `Started`, or at the first row's clock time where that has a date only.
+    """
+    probe = [re.split(r"[\t,]", x.strip()) for x in lines[:30]]
+    field = {p[0].strip().rstrip(":"): p[1].strip() for p in probe if len(p) > 1 and ":" not in p[0].strip().rstrip(":")}
+    first = next(i for i, p in enumerate(probe) if p[0].strip() == "Time") + 1
+    clocks = [_clock(re.split(r"[\t,]", x.strip())[0]) for x in lines[first : first + 2] if x.strip()]
+    date, *time = field["Started"].split()
+    start = datetime.strptime(date, "%d-%b-%Y")
+    start += _clock(f"{time[0]}:0" if time[0].count(":") == 1 else time[0]) if time else clocks[0]
+    epoch = (clocks[1] - clocks[0]) % timedelta(days=1) if len(clocks) > 1 else timedelta(minutes=1)
+    trimmed = field.get("Start trimmed to")
+    return field | {"start": start, "epoch": epoch, "data_start": first, "trimmed": datetime.strptime(trimmed, "%Y-%m-%d %H:%M") if trimmed else None}
 
 
-def parse_actiheart(subject: str, text: str, date_format: str = "%d-%b-%Y") -> Iterator[pd.DataFrame]:
+def parse_actiheart(subject: str, text: str) -> Iterator[pd.DataFrame]:
     """Chest activity and heart rate; a heart rate of 0 or less is missing. Rows up to a `Start trimmed to` time are left out."""
     lines = text.splitlines()
-    probe = [re.split(r"[\t,]", x.strip()) for x in lines[:30]]
-    field = {p[0].strip().rstrip(":"): p[1].strip() for p in probe if len(p) > 1}
-    head = next(i for i, p in enumerate(probe) if p[0].strip() == "Time")
-    rows = [re.split(r"[\t,]", x.strip()) for x in lines[head + 1 :] if x.strip()]
-    first = datetime.strptime(f"{field['Started'].split()[0]} {rows[0][0]}", f"{date_format} %H:%M:%S")
-    epoch = round(((_clock(rows[1][0]) - _clock(rows[0][0])) if len(rows) > 1 else timedelta(minutes=1)) / timedelta(microseconds=1)) % 86_400_000_000
-    us = as_us(first) + epoch * np.arange(len(rows))
-    trimmed = field.get("Start trimmed to")
-    keep = us > as_us(datetime.strptime(trimmed, f"{date_format} %H:%M:%S" if " " in trimmed else "%H:%M:%S")) if trimmed and " " in trimmed else np.ones(len(rows), bool)
+    head = actiheart_header(lines)
+    rows = [re.split(r"[\t,]", x.strip()) for x in lines[head["data_start"] :] if x.strip()]
+    us = as_us(head["start"]) + round(head["epoch"] / timedelta(microseconds=1)) * np.arange(len(rows))
+    keep = us > as_us(head["trimmed"]) if head["trimmed"] else np.ones(len(rows), bool)
     chest, hr = (np.array([float(r[i]) for r in rows]) for i in (1, 2))
     yield frame(subject, "Chest", us[keep], chest[keep])
     yield frame(subject, "HR", us[keep], np.where(hr > 0, hr, -1)[keep], (hr <= 0)[keep])
 
 
-def read_actiheart(spark: SparkSession, path: str, date_format: str = "%d-%b-%Y") -> DataFrame:
-    return whole_files(spark, path, lambda name, text: parse_actiheart(name, text, date_format))
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """name and value of the lines of files, which may be split between tasks."""
+    return spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), STEM, 1).alias("name"), "value")
 
 
-def _lines(spark: SparkSession, path: str, skip: int) -> DataFrame:
-    """name and value of the lines of files after the first skip ones, which are told by their place in the file."""
-    pin_utc(spark)
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("name"), F.split("value", "\r?\n").alias("lines"))
-    return whole.select("name", F.posexplode("lines").alias("i", "value")).where((F.col("i") >= skip) & (F.trim("value") != ""))
+def lines_of(files: DataFrame) -> DataFrame:
+    """name and value of the lines of recordings that a table has whole."""
+    return files.select("name", F.explode(F.split("value", "\r?\n")).alias("value"))
 
 
 def _channels(rows: DataFrame, ts: Column, channels: dict[str, Column]) -> DataFrame:
-    """Long samples from one row a time; what isn't a number is missing."""
+    """Long samples from one row a time; what isn't a number is missing. Lines without a time, such as headers, are none."""
+    pin_utc(rows.sparkSession)
     pairs = F.array(*(F.struct(F.lit(n).alias("channel"), c.try_cast("double").alias("value")) for n, c in channels.items()))
-    long = rows.select(F.col("name").alias("subject_id"), ts.alias("ts"), F.explode(pairs).alias("x"))
+    long = rows.select(F.col("name").alias("subject_id"), ts.alias("ts"), F.explode(pairs).alias("x")).where(F.col("ts").isNotNull())
     return long.select("subject_id", "x.channel", "ts", F.when(~F.isnan("x.value"), F.col("x.value")).alias("value"), (F.col("x.value").isNull() | F.isnan("x.value")).alias("missing"))
 
 
-def read_activpal_csv(spark: SparkSession, path: str, skip: int = 1, separator: str = ",") -> DataFrame:
-    """AP_X, AP_Y, AP_Z in g from serial days since 1899-12-30 and readings about 128."""
+def decode_activpal_csv(lines: DataFrame, separator: str = ",") -> DataFrame:
+    """AP_X, AP_Y, AP_Z in g from lines of a serial day since 1899-12-30 and three readings about 128."""
     part = F.split("value", separator)
-    serial = F.get(part, F.lit(0)).try_cast("decimal(25,15)")
+    serial = F.when(F.col("value").rlike(r"^\s*[0-9]+\.?[0-9]*\s*" + separator), F.get(part, F.lit(0)).try_cast("decimal(25,15)"))
     us = F.round((serial - 25569) * 86_400_000_000).cast("long")
     axis = lambda i: (F.get(part, F.lit(i)).try_cast("double") - 128) / 64
-    return _channels(_lines(spark, path, skip), F.timestamp_micros(us).cast("timestamp_ntz"), {"AP_X": axis(2), "AP_Y": axis(3), "AP_Z": axis(4)})
+    return _channels(lines, F.timestamp_micros(us).cast("timestamp_ntz"), {"AP_X": axis(1), "AP_Y": axis(2), "AP_Z": axis(3)})
 
 
-def read_geneactiv_csv(spark: SparkSession, path: str, skip: int = 80) -> DataFrame:
-    """GA_X, GA_Y, GA_Z, GA_Lux, GA_Event and GA_Temperature after an 80-line header."""
+def decode_geneactiv_csv(lines: DataFrame) -> DataFrame:
+    """GA_X, GA_Y, GA_Z, GA_Lux, GA_Event and GA_Temperature of the lines that begin with a time; header lines don't."""
     part = F.split("value", ",")
-    stamp = F.get(part, F.lit(0))
-    ts = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss:SSS")), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss.SSS"))).cast("timestamp_ntz")
+    stamp = F.regexp_replace(F.trim(F.get(part, F.lit(0))), r":(\d{3})$", ".$1")
+    ts = F.when(stamp.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{3}$"), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss.SSS"))).cast("timestamp_ntz")
     names = ["GA_X", "GA_Y", "GA_Z", "GA_Lux", "GA_Event", "GA_Temperature"]
-    return _channels(_lines(spark, path, skip), ts, {n: F.get(part, F.lit(i + 1)) for i, n in enumerate(names)})
+    return _channels(lines, ts, {n: F.get(part, F.lit(i + 1)) for i, n in enumerate(names)})
 
 
-def parse_gt3x_csv(subject: str, text: str) -> Iterator[pd.DataFrame]:
-    """X, Y, Z of a raw export: eleven header lines, the first with the date format; then timestamp,x,y,z."""
-    lines = text.splitlines()
-    form = re.search(r"date format (\S+)", lines[0])
-    order = (form[1] if form else "dd/MM/yyyy").lower().replace("-", "/").split("/")
-    rows = [x.split(",") for x in lines[11:] if x.strip()]
-    us = np.zeros(len(rows), np.int64)
-    for i, row in enumerate(rows):
-        date, clock = row[0].split(" ")
-        part = dict(zip((o[0] for o in order), map(int, re.split(r"[/-]", date)), strict=True))
-        h, m, s = clock.split(":")
-        second, _, rest = s.partition(".")
-        us[i] = as_us(datetime(part["y"], part["m"], part["d"], int(h), int(m), int(second))) + int(f"{rest:0<6}"[:6] or 0)
-    for k, axis in enumerate("XYZ"):
-        yield frame(subject, axis, us, [float(r[k + 1]) for r in rows])
+def gt3x_header(lines: list[str]) -> dict:
+    """Start, sampling frequency and date order of a raw export's first lines."""
+    form, rate = re.search(r"format (\S+)", lines[0]), re.search(r"(\d+) Hz", lines[0])
+    pattern = (form[1] if form else "dd/MM/yyyy").replace("dd", "%d").replace("MM", "%m").replace("yyyy", "%Y")
+    day, clock = (next((x.split()[-1] for x in lines if x.startswith(key)), None) for key in ("Start Date", "Start Time"))
+    start = datetime.strptime(f"{day} {clock}", f"{pattern} %H:%M:%S") if day and clock else None
+    return {"frequency": int(rate[1]) if rate else None, "date_format": form[1] if form else "dd/MM/yyyy", "start": start}
+
 
+def decode_gt3x_csv(lines: DataFrame) -> DataFrame:
+    """X, Y, Z of the lines `timestamp,x,y,z`; header lines have no such form.
 
-def read_gt3x_csv(spark: SparkSession, path: str) -> DataFrame:
-    return whole_files(spark, path, parse_gt3x_csv)
+    Dates are day first unless a recording's header says otherwise: its order is joined to its lines, one row a recording.
+    """
+    form = F.regexp_extract("value", r"date format (\S+)", 1)
+    orders = lines.where(form != "").groupBy("name").agg(F.min(form).alias("form"))
+    rows = lines.where(F.col("value").rlike(r"^\d+[/-]\d+[/-]\d+ \d+:\d+:[\d.]+,")).join(orders, "name", "left")
+    part, digits = F.split("value", ","), F.regexp_extract_all("value", F.lit(r"\d+"), F.lit(0))
+    place = lambda letter: F.instr(F.coalesce("form", F.lit("dd/MM/yyyy")), letter)
+    rank = lambda a, b, c: (F.when(place(a) > place(b), 1).otherwise(0) + F.when(place(a) > place(c), 1).otherwise(0)).cast("int")
+    date = [F.get(digits, rank(*x)) for x in (("y", "M", "d"), ("M", "y", "d"), ("d", "y", "M"))]
+    clock = F.regexp_extract("value", r"^\S+ ([\d:.]+)", 1)
+    ts = F.try_to_timestamp(F.concat(F.concat_ws("-", *date), F.lit(" "), clock)).cast("timestamp_ntz")
+    return _channels(rows, ts, {axis: F.get(part, F.lit(i + 1)) for i, axis in enumerate("XYZ")})
 
 
 def read_csv(spark: SparkSession, path: str, datetime_format: str = "dd/MM/yyyy HH:mm:ss:SSSSSS", datetime_column: str | None = None, ignore: tuple[str, ...] = (), unique_names: bool = False) -> DataFrame:
@@ -165,34 +189,34 @@ def read_csv(spark: SparkSession, path: str, datetime_format: str = "dd/MM/yyyy
 
     With unique_names the file's name is put before channel names.
     """
-    pin_utc(spark)
     table = spark.read.csv(path, header=True)
-    when = datetime_column or table.columns[0]
-    table = table.withColumn("name", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1))
+    return decode_csv(table.withColumn("name", F.regexp_extract(F.col("_metadata.file_name"), STEM, 1)), datetime_format, datetime_column or table.columns[0], ignore, unique_names)
+
+
+def decode_csv(table: DataFrame, datetime_format: str = "dd/MM/yyyy HH:mm:ss:SSSSSS", datetime_column: str | None = None, ignore: tuple[str, ...] = (), unique_names: bool = False) -> DataFrame:
+    """Samples of a table of strings with a name: a channel for each column but the time's (the first one unless given)."""
+    when = datetime_column or next(c for c in table.columns if c != "name")
     names = [c for c in table.columns if c not in (when, "name", *ignore)]
     long = _channels(table, F.try_to_timestamp(F.col(f"`{when}`"), F.lit(datetime_format)).cast("timestamp_ntz"), {n: F.col(f"`{n}`") for n in names})
     return long.withColumn("channel", F.concat_ws("_", "subject_id", "channel")) if unique_names else long
 
 
-def parse_xlo(subject: str, text: str, skipped: int = XLO_SKIPPED) -> Iterator[pd.DataFrame]:
-    """Cardio-pulmonary variables: tab-separated rows whose first column is a dash; empty values are 0.
+def xlo_header(lines: list[str]) -> dict:
+    """Day, height in cm and weight in kg from the header's eighth and fourth line."""
+    _, height, weight = lines[3].strip().split(":")[:3]
+    return {"start": datetime.strptime(lines[7].split()[1], "%d/%m/%Y"), "height": float(height.split()[0]), "weight": float(weight.split()[0])}
+
+
+def parse_xlo(subject: str, text: str) -> Iterator[pd.DataFrame]:
+    """Cardio-pulmonary variables of the tab-separated rows that begin with an empty value; columns have fixed places.
 
-    Header: date, weight (for oxygen and carbon dioxide per kg) and the line with the variables' names (the one with Time).
+    Times are minutes and seconds from the start of the day; empty values are 0; oxygen and carbon dioxide are per kg.
     """
     lines = text.splitlines()
-    field = dict(re.split(r"\t+", x.strip(), maxsplit=1) for x in lines[:15] if "\t" in x.strip())
-    day = datetime.strptime(re.search(r"\d{2}[./]\d{2}[./]\d{4}", " ".join(lines[:15]))[0].replace(".", "/"), "%d/%m/%Y")
-    weight = float(re.search(r"[\d.]+", field.get("Weight", "1"))[0])
-    at = next(i for i, x in enumerate(lines) if re.search(r"(^|\t)\s*Time\s*(\t|$)", x))
-    names = [x.strip() for x in lines[at].split("\t")]
-    rows = [x.split("\t") for x in lines[at + 1 :] if x.split("\t")[0].strip() == "-"]
-    time_at = names.index("Time")
-    us = np.array([as_us(day) + (int(m) * 60 + int(s)) * 1_000_000 for m, s in (r[time_at].strip().split(":")[-2:] for r in rows)], np.int64)
-    kept = [i for i in range(len(names)) if i not in (0, time_at) and names[i]][: max(0, 32 - skipped)]
-    for i in kept:
-        values = np.array([float(r[i].strip().replace(",", ".")) if i < len(r) and re.fullmatch(r"\s*-?[\d.,]+\s*", r[i]) else 0.0 for r in rows])
-        yield frame(subject, names[i], us, values / weight if names[i] in ("V'O2", "V'CO2") else values)
-
-
-def read_xlo(spark: SparkSession, path: str) -> DataFrame:
-    return whole_files(spark, path, parse_xlo)
+    head = xlo_header(lines[:XLO_HEADER])
+    rows = [x.split("\t") for x in lines[XLO_HEADER:] if x.split("\t")[0] == XLO_EMPTY]
+    clock = [x[XLO_COLUMNS.index("Time")].strip().split(":") for x in rows]
+    us = as_us(head["start"]) + np.array([(int(m) * 60 + int(s)) * 1_000_000 for m, s, *_ in clock], np.int64)
+    for i, name in list(enumerate(XLO_COLUMNS))[XLO_SKIPPED:]:
+        values = np.array([0.0 if x[i] == XLO_EMPTY else float(x[i]) for x in rows])
+        yield frame(subject, name, us, values / head["weight"] if name in ("V'O2", "V'CO2") else values)

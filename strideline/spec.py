@@ -101,8 +101,20 @@ def names(signal: str, statistics: list) -> list[str]:
     return out
 
 
-def aggregates(signal: str, statistics: list, named: bool = True) -> list[Column]:
-    """Aggregate columns over samples (value, missing, and previous for Bigrams)."""
+def _ranked(value: Column, p: float) -> Column:
+    """A percentile from samples' rank (from 1) among the valid ones of their group and their number, ranks."""
+    place = (F.col("ranks") - 1) * (p / 100)
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, value))
+    low, high = at(F.floor(place) + 1), at(F.ceil(place) + 1)
+    share = F.max(F.when(~F.col("missing"), place - F.floor(place)))
+    return low + (high - low) * share
+
+
+def aggregates(signal: str, statistics: list, named: bool = True, ranked: bool = False) -> list[Column]:
+    """Aggregate columns over samples (value, missing, and previous for Bigrams).
+
+    ranked: samples have rank and ranks, from which percentiles come; without them a group's distinct values are held.
+    """
     valid, gone = ~F.col("missing"), F.col("missing")
     value, out = F.when(valid, F.col("value")), []
     generic = {
@@ -116,7 +128,7 @@ def aggregates(signal: str, statistics: list, named: bool = True) -> list[Column
         elif isinstance(s, Bigrams):
             out += [F.count_if(valid & (F.col("previous") == float(a)) & (F.col("value") == float(b))) for a in s.values for b in s.values]
         elif isinstance(s, Percentiles):
-            out += [F.percentile(value, F.lit(p / 100)) for p in s.percentages]
+            out += [_ranked(value, p) if ranked else F.percentile(value, F.lit(p / 100)) for p in s.percentages]
         else:
             raise ValueError(f"{s!r} has an operator of its own")
     return [c.alias(n) for c, n in zip(out, names(signal, statistics), strict=True)] if named else out

@@ -180,7 +180,7 @@ def test_still_periods_and_calibration(spark):
 def test_posture_holds_for_ten_seconds():
     rule, us = inference.Posture(), np.arange(60) * SECOND
     pitch = np.where((us >= 5 * SECOND) & (us < 9 * SECOND), 40.0, 0.0) + np.where((us >= 20 * SECOND) & (us < 45 * SECOND), 40.0, 0.0)
-    assert rule.classify(us, pitch).tolist() == [0] * 20 + [1] * 25 + [0] * 15
+    assert rule.classify(us, pitch)[0].tolist() == [0] * 20 + [1] * 25 + [0] * 15
 
 
 def test_spectra_and_filters(spark):
@@ -236,3 +236,61 @@ def test_samples_from_tables_mark_what_is_no_number(spark):
     df = spark.createDataFrame([(1, START, 2.0), (1, START, float("nan")), (1, START, None)], "u int, t timestamp_ntz, v double")
     got = samples_from(df, "u", "t", v="v").collect()
     assert sorted((r.value is None, r.missing) for r in got) == [(False, False), (True, True), (True, True)]
+
+
+def test_shards_are_exact_beyond_any_sample(spark):
+    jobs = spark.range(60_000).selectExpr("format_string('%08d', pmod(xxhash64(id), 90000000)) AS job").distinct()
+    sizes = {r.shard: r["count"] for r in batch.shards(jobs, "job", 7).groupBy("shard").count().collect()}
+    n = jobs.count()
+    assert sizes == {k + 1: n // 7 + (k < n % 7) for k in range(7)}
+    ends = batch.shards(jobs, "job", 7).groupBy("shard").agg(F.min("job").alias("a"), F.max("job").alias("b")).orderBy("shard").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:], strict=False))
+    few = spark.createDataFrame([("b",), ("a",), (None,)], "job string")
+    assert {r.job: r.shard for r in batch.shards(few, "job", 5).collect()} == {None: 1, "a": 2, "b": 3}
+    assert batch.shards(few.limit(0), "job", 3).count() == 0
+
+
+def test_filters_keep_their_state_between_batches():
+    b, a = spectral.butterworth(4, 0.2, 10.0, True)
+    x, state, want = np.random.default_rng(1).normal(size=700), np.zeros(5), []
+    for v in x.tolist():
+        y = b[0] * v + state[0]
+        state[:-1] = state[1:] + b[1:] * v - a[1:] * y
+        want.append(y)
+    rule = spectral.Filter(b, a)
+    got = np.concatenate([rule(x[i:j]) for i, j in ((0, 200), (200, 201), (201, 201), (201, 700))])
+    assert np.allclose(got, want, atol=1e-8)
+
+
+def test_posture_over_batches_as_over_the_whole():
+    rule, rng = inference.Posture(), np.random.default_rng(2)
+    for _ in range(100):
+        n = int(rng.integers(1, 300))
+        us, pitch = np.cumsum(rng.integers(1, 4, n)) * SECOND, np.repeat(rng.choice([10.0, 25.0, 40.0], n), rng.integers(1, 9, n))[:n]
+        whole, begin, state, out = rule.classify(us, pitch)[0].tolist(), 0, 0, []
+        for end in sorted({*rng.integers(1, n + 1, 3).tolist(), n}):
+            found, state, open_ = rule.classify(us[begin:end], pitch[begin:end], state)
+            cut = end - begin if end == n else open_
+            out += found[:cut].tolist()
+            begin += cut
+        assert out == whole
+
+
+def test_calibrated_samples_are_marked(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i, v in enumerate(rng.normal(size=(40, 3))):
+        v = v / np.linalg.norm(v) + [0.03, -0.02, 0.01]
+        for k in range(18):
+            move = {16: 0.2, 17: -0.2}.get(k, 0.0)
+            rows.append(("s", START + timedelta(seconds=5 * (18 * i + k)), *(float(x + move) for x in v)))
+    xyz = spark.createDataFrame(rows, "subject_id string, ts timestamp_ntz, x double, y double, z double")
+    cache = batch.ResultCache(spark, f"{tmp_path}/cache")
+    done, found = inference.auto_calibrated(xyz, cache=cache)
+    row = found.first()
+    assert row.points == 40 and row.error_after < 0.2 * row.error_before and abs(row.x_offset + 0.03) < 0.02
+    assert inference.is_calibrated(done) and not inference.is_calibrated(xyz) and cache.names() == ["calibrate"]
+    done.write.parquet(f"{tmp_path}/xyz")
+    assert inference.is_calibrated(spark.read.parquet(f"{tmp_path}/xyz"))
+    with pytest.raises(ValueError, match="calibrated already"):
+        inference.auto_calibrated(done)

@@ -28,11 +28,15 @@ def test_actigraph(spark, tmp_path):
 
 
 def test_other_text_formats(spark, tmp_path):
-    (tmp_path / "h.txt").write_text("Started: ,01-Mar-2020\nx,y\nTime,Activity,HR\n23:59:30,4,60\n00:00:00,5,0\n00:00:30,6,70\n")
+    body = "Weight,70\nTime,Activity,HR\n23:59:30,4,60\n00:00:00,5,0\n00:00:30,6,70\n"
+    (tmp_path / "h.txt").write_text("Started,01-Mar-2020\n" + body)
     df = sources.load(spark, f"{tmp_path}/h.txt", "actiheart")
     assert [v for _, v in rows(df, "Chest")] == [4, 5, 6] and [t for t, _ in rows(df, "HR")] == [START + timedelta(seconds=30 * i) for i in range(3)]
     assert df.where("missing").count() == 1
-    (tmp_path / "p.csv").write_text("Time,Count,X,Y,Z\n43891.5,0,192,128,64\n43891.500011574074,1,129,128,126\n")
+    (tmp_path / "t.txt").write_text("Started,01-Mar-2020  12:34\nStart trimmed to,2020-03-01 12:34\n" + body)
+    got = rows(sources.load(spark, f"{tmp_path}/t.txt", "actiheart"), "Chest")
+    assert got == [(datetime(2020, 3, 1, 12, 34, 30 * i % 60) + timedelta(minutes=30 * i // 60), 4.0 + i) for i in (1, 2)]
+    (tmp_path / "p.csv").write_text("a,b\nTime,X,Y,Z\n43891.5,192,128,64\n43891.500011574074,129,128,126\n")
     df = sources.load(spark, f"{tmp_path}/p.csv", "activpal_csv")
     assert rows(df, "AP_X") == [(datetime(2020, 3, 1, 12), 1.0), (datetime(2020, 3, 1, 12, 0, 1), 1 / 64)]
     (tmp_path / "g.csv").write_text("h\n" * 80 + "2020-03-01 23:59:30:500,0.1,0.2,0.3,12,1,25.5\n")
@@ -46,22 +50,38 @@ def test_other_text_formats(spark, tmp_path):
     (tmp_path / "c.csv").write_text("when,a,b,c\n01/03/2020 23:59:30:000001,1,x,3\n")
     df = sources.load(spark, f"{tmp_path}/c.csv", ignore=("c",), unique_names=True)
     assert {(r.channel, r.value, r.missing) for r in df.collect()} == {("c_a", 1.0, False), ("c_b", None, True)}
-    names = "\t".join(["   -    ", "Time", "HR", "V'O2", "V'CO2"])
-    (tmp_path / "x.txt").write_text(f"Date\t01.03.2020\nWeight\t80 kg\n{names}\n   -    \t00:10\t60\t800\t-\n   -    \t00:20\t61\t\t400\nx\t00:30\t1\t1\t1\n")
+    head = ["Name: a", "b", "c", "Height: 180 cm Weight: 80 kg", "d", "e", "f", "Date: 01/03/2020 Time: 10:00AM", *["g"] * 7, "T-body\tPmean\tTime"]
+    line = lambda clock, *cells: "\t".join(["   -    ", "p", clock, *["x"] * 5, *cells])
+    empty = ["   -    "] * 24
+    (tmp_path / "x.txt").write_text("\n".join([*head, line("00:10", *map(str, range(800, 824))), line("1:20", *empty), "other\t1"]))
     df = sources.load(spark, f"{tmp_path}/x.txt", "xlo")
-    assert rows(df, "V'O2") == [(datetime(2020, 3, 1, 0, 0, 10), 10.0), (datetime(2020, 3, 1, 0, 0, 20), 0.0)] and len(rows(df, "HR")) == 2
+    assert rows(df, "V'O2") == [(datetime(2020, 3, 1, 0, 0, 10), 806 / 80), (datetime(2020, 3, 1, 0, 1, 20), 0.0)]
+    assert rows(df, "VDe/VT")[0][1] == 823 and df.select("channel").distinct().count() == 24 and df.where("channel = 'Load'").count() == 0
 
 
-def test_datx_runs_and_tail(spark, tmp_path):
+def datx_head(seconds):
     head = bytearray(1024)
-    head[256:261], head[35], head[38] = bytes([59, 23, 1, 3, 20]), 20, 1
-    body = bytes([192, 128, 64, 0, 0, 2, 129, 128, 128, 0, 0, 0]) + b"TAIL" + b"zzz"
-    (tmp_path / "d.datx").write_bytes(bytes(head) + body)
+    end = START + timedelta(seconds=seconds)
+    for at, t in ((256, START), (262, end)):
+        head[at : at + 6] = bytes([t.hour, t.minute, t.second, t.day, t.month, t.year - 2000])
+    head[35], head[38] = 20, 1
+    return bytes(head)
+
+
+def test_datx_runs_and_tail(spark, tmp_path):
+    body = bytes([192, 128, 64, 0, 0, 2, 129, 128, 128, 0, 0, 0])
+    for name, tail in (("d", b"tail" + b"zzz"), ("e", b"taizzz")):
+        (tmp_path / f"{name}.datx").write_bytes(datx_head(9) + body + tail)
     got = rows(sources.load(spark, f"{tmp_path}/d.datx"), "X")
-    assert [v for _, v in got] == [2.0] * 4 + [1 / 32] * 2 and got[1][0] == datetime(2020, 3, 1, 23, 59, 0, 50000)
+    assert [v for _, v in got] == [2.0] * 4 + [1 / 32] * 2 and got[1][0] == START + timedelta(milliseconds=50)
+    assert len(rows(sources.load(spark, f"{tmp_path}/e.datx"), "X")) == 8  # not the footer, but two samples
+    (tmp_path / "s.datx").write_bytes(datx_head(1) + bytes([192, 128, 64, 0, 0, 200]))
+    assert len(rows(sources.load(spark, f"{tmp_path}/s.datx"), "X")) == 20  # up to the end time
+    fields = sources.headers(binary.binary_files(spark, f"{tmp_path}/s.datx"), "datx").first().fields
+    assert fields == {"start": "2020-03-01 23:59:30", "end": "2020-03-01 23:59:31", "frequency": "20", "dynamic_range": "1"}
 
 
-def page(at, values, packed, device, shift=0, light=300):
+def page(at, values, packed, device, shift=0, light=2348):
     data = b"".join(struct.pack("<3h", *v) for v in values) if not packed else b"".join(struct.pack("<I", (v[0] & 1023) | (v[1] & 1023) << 10 | (v[2] & 1023) << 20 | 1 << 30) for v in values)
     stamp = (at.year - 2000) << 26 | at.month << 22 | at.day << 17 | at.hour << 12 | at.minute << 6 | at.second
     out = b"AX" + struct.pack("<HHIIIHHBBBBhH", 508, device, 0, 0, stamp, light, 300, 0, 0, 0x4A, 0x30 if packed else 0x32, shift, len(values)) + data
@@ -82,7 +102,7 @@ def test_axivity(spark, tmp_path, packed):
         got = rows(df, "Y")
         assert len(got) == 2 * size and {v for _, v in got} == {-2.0 if packed else -1.0} and got[0][0] == START
         assert all(a < b for (a, _), (b, _) in zip(got, got[1:], strict=False))
-        assert len(rows(df, "Light")) == 2 and rows(df, "Light")[0] == (START, 300.0)
+        assert len(rows(df, "Light")) == 2 and rows(df, "Light")[0] == (START, 2348.0) and rows(df, "Temperature")[1][1] == 300.0
 
 
 def test_geneactiv_bin(spark, tmp_path):
@@ -115,7 +135,7 @@ def test_store_results_and_bouts(spark, tmp_path):
 
 
 def test_page_times_are_spread_evenly():
-    got = binary.spaced(np.array([0.0, 1000.0]), np.array([0, 4]), 6, 250)
+    got = binary.spaced(np.array([0.0, 1000.0]), np.array([0, 4]), np.arange(6), 250)
     assert got.tolist() == [0, 250, 500, 750, 1000, 1250]
     assert binary.axivity_time(0) is None
 
@@ -144,3 +164,29 @@ def test_envelopes_and_tones(spark):
     assert len(got) == 10 and (got[0].low, got[-1].high) == (0, 99) and sum(r.mean for r in got) / 10 == pytest.approx(49.5, abs=0.5)
     with wave.open(io.BytesIO(media.tone(np.arange(5)))) as file:
         assert file.getnframes() == 5 * 441
+
+
+def test_axivity_pages_in_sequence_give_the_local_frequency():
+    pages = np.zeros(4, binary.PAGE)
+    pages["sequence"], pages["count"], pages["rate"], pages["offset"] = [5, 6, 7, 9], 100, 0x4A, [0, 10, 10, 10]
+    clock = np.array([0, 2_000_000, 4_000_000, 9_000_000], float)
+    # 110 samples in 2 s, then 100 in 2 s; after the break the nominal 100 Hz.
+    want = [0, 2e6 - 10 / 55 * 1e6, 4e6 - 10 / 50 * 1e6, 9e6 - 10 / 100 * 1e6]
+    assert binary.axivity_marks(pages, clock).tolist() == pytest.approx(want, abs=1)
+
+
+def test_headers_and_generated_recordings(spark):
+    head = "\n".join(["Data File", "Serial Number: X1", "Start Time 23:59:30", "Start Date 01/03/2020", "Epoch Period (hh:mm:ss) 00:00:10", "Download Time 10:00:00", "Download Date 02/03/2020", "M", "Mode = 1", "-"])
+    got = sources.headers(spark.createDataFrame([("a", head)], "name string, value string"), "actigraph").first()
+    assert got.subject_id == "a" and got.fields["serial"] == "X1" and got.fields["epoch"] == "10.0"
+    with pytest.raises(ValueError, match="unknown kind"):
+        sources.decode(spark.createDataFrame([("a", head)], "name string, value string"), "odd")
+    for kind in (*sources.TEXTS, *sources.BYTES):
+        empty = spark.createDataFrame([], "name string, value string, content binary")
+        assert sources.decode(empty, kind).count() == 0
+
+
+def test_attributes_beside_a_table(spark, tmp_path):
+    df = spark.range(3)
+    store.write_table(df, f"{tmp_path}/t", attributes={"a": 1.5, "b": "x", "c": [1, 2]})
+    assert store.read_attributes(spark, f"{tmp_path}/t") == {"a": 1.5, "b": "x", "c": [1, 2]} and store.read_table(spark, f"{tmp_path}/t").count() == 3
