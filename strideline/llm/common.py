@@ -23,10 +23,12 @@ MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one of this machine."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one of this machine on a local master, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         done = spark.sparkContext.getCheckpointDir()
+        if not done and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = done.rsplit("/", 1)[0] if done else "file://" + tempfile.mkdtemp(prefix="strideline-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

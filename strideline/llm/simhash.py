@@ -33,6 +33,8 @@ from .components import components
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints of one join key that are compared pair by pair.
 WIDE = 8192
+#: Keys that a worker holds at once, but for twice WIDE.
+HELD = 1 << 20
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Generator polynomial of the binary Golay code. Fixed value.
 GENERATOR = 0xC75
@@ -178,18 +180,34 @@ def _links(wide: int, distance: int):
         whole = np.unique(prints[large])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([nodes[child], whole])), pa.array(np.concatenate([nodes[parent[child]], whole]))], names=["a", "b"])
 
+    def themselves(prints: np.ndarray) -> pa.RecordBatch:
+        whole = pa.array(np.unique(prints))
+        return pa.RecordBatch.from_arrays([whole, whole], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+        n, passing = 0, None
         for batch in batches:
-            held.append(tuple(np.asarray(batch.column(i)) for i in range(2)))
-            n += len(batch)
-            if n > 1 << 20:  # all but the last key, which may go on
+            keys, prints = (np.asarray(batch.column(i)) for i in range(2))
+            if passing is not None:  # a wide key that goes on: its fingerprints are handed on as they come
+                same = int(np.searchsorted(keys, passing, "right"))
+                if same:
+                    yield themselves(prints[:same])
+                keys, prints = keys[same:], prints[same:]
+                passing = passing if not len(keys) else None
+            if not len(keys):
+                continue
+            held.append((keys, prints))
+            n += len(keys)
+            if n > max(HELD, 2 * wide):  # all but the last key, which may go on
                 keys, prints = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.searchsorted(keys, keys[-1]))
                 if cut:
                     yield flush(keys[:cut], prints[:cut])
                 held, n = [(keys[cut:], prints[cut:])], len(keys) - cut
+                if n > wide:
+                    yield themselves(prints[cut:])
+                    held, n, passing = [], 0, keys[-1]
         if n:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -247,15 +265,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return marked.join(found, "fingerprint").select(F.col("id").alias(id_column), "fingerprint", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: that with the smallest id (of rows with the same id any one)."""
-    rows = saved(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("n")), "rows")
-    key = F.struct(F.col(f"row.{id_column}").isNull().alias("none"), F.col(f"row.{id_column}").alias("id"), F.col("n"))
-    grouped = near_duplicates(rows.select(key.alias("key"), F.col(f"row.{text}").alias("text")), "key")
-    kept = grouped.where("key.n = component_id.n").select("key.n")
-    return rows.join(kept, "n", "left_semi").select("row.*")
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", hexadecimal("fingerprint").alias("fingerprint"), "component_id")

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from strideline.llm.simhash import fingerprint, join_keys, links, near_duplicates, without_near_duplicates
+from strideline.llm import simhash
+from strideline.llm.simhash import fingerprint, join_keys, links, near_duplicates
 
 
 def test_keys_meet_within_four_bits_of_any_pattern():
@@ -32,8 +33,9 @@ def test_fingerprint():
     assert [fingerprint(x.encode()) for x in texts] == brute(texts)
 
 
-@pytest.mark.parametrize("wide", [8192, 2])
-def test_components_as_brute_force(spark, wide):
+@pytest.mark.parametrize("wide,held", [(8192, 1 << 20), (2, 1 << 20), (2, 3)])
+def test_components_as_brute_force(spark, monkeypatch, wide, held):
+    monkeypatch.setattr(simhash, "HELD", held)
     rng = np.random.default_rng(7)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 150)) for _ in range(25)]
     texts = [None, "", " \n", "tiny", "tiny"]
@@ -67,10 +69,8 @@ def test_links_are_a_forest_not_all_pairs(spark):
     assert 255 <= links(prints.repartition(1)).distinct().count() < 256 * 40
 
 
-def test_one_of_each_group_stays_with_nulls_and_repeats(spark):
-    rows = [(5, "a b c d e f", 1), (5, "a b c d e f", 1), (2, "a b c d e f", 2), (None, None, 3), (None, "", 4), (9, "q r s t u v w", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
-    kept = without_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 9]
+def test_nulls_and_repeats(spark):
+    rows = [(5, "a b c d e f", 1), (5, "a b c d e f", 1), (2, "A b c d e f", 2), (None, None, 3), (None, "", 4), (9, "q r s t u v w", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_duplicates(docs).collect()) == [(0, 0), (0, 0), (2, 2), (5, 2), (5, 2), (9, 9)]
     assert near_duplicates(docs.limit(0)).count() == 0
