@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_table, read, span_hashes, utf8, with_columns, words
+from .common import lower_table, read, saved, span_hashes, utf8, with_columns, words
 
 #: Consecutive words of an item that make a window, and words of items in one broadcast.
 WINDOW, BLOCK_WORDS = 10, 1_000_000
@@ -35,9 +35,9 @@ ARROW_MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int
 
 @dataclass
 class Items:
-    """A block of items: their ids, the sorted word hashes, and all words as ranks (0 after each item)."""
+    """A block of distinct items: the ids of each, the sorted word hashes, and all words as ranks (0 after each item)."""
 
-    ids: list[str | None]
+    ids: list[list[str]]
     vocabulary: np.ndarray
     ranks: np.ndarray
     item: np.ndarray  #: of each place in ranks
@@ -49,11 +49,20 @@ class Items:
         data, offsets = utf8(pa.array(texts, pa.large_string()))
         data = lower_table()[data]
         starts, ends, first = words(data, offsets, "alnum")
-        hashes, length = span_hashes(data, starts, ends), np.diff(first)
+        hashes = span_hashes(data, starts, ends)
+        distinct: dict[bytes, tuple[int, list[str]]] = {}
+        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            own = distinct.setdefault(hashes[a:b].tobytes(), (i, []))[1]
+            if ids[i] is not None:
+                own.append(ids[i])
+        kept = [i for i, _ in distinct.values()]
+        length = np.diff(first)[kept]
+        hashes = np.concatenate([hashes[first[i] : first[i + 1]] for i in kept]) if kept else hashes
+        ids = [sorted(set(own)) for _, own in distinct.values()]
         vocabulary = np.unique(hashes)
-        item = np.repeat(np.arange(len(ids)), length + 1)
+        item = np.repeat(np.arange(len(kept)), length + 1)
         ranks = np.zeros(len(item), np.int64)
-        ranks[np.arange(len(hashes)) + np.repeat(np.arange(len(ids)), length)] = np.searchsorted(vocabulary, hashes) + 1
+        ranks[np.arange(len(hashes)) + np.repeat(np.arange(len(kept)), length)] = np.searchsorted(vocabulary, hashes) + 1
         return cls(ids, vocabulary, ranks, item, np.cumsum(length + 1) - length - 1, length)
 
 
@@ -172,25 +181,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     strings) and matches, the maximal verbatim matches with their places in item and document, counted in words.
 
     Null and empty texts have no words and no matches; so have items with null or empty texts. An item with a null id
-    hits, but isn't listed. Rows stay as they are, repeated ones too; columns of docs with these names are replaced.
+    hits, but isn't listed. Items with the same words are searched once: their matches have the first of their ids, item_ids
+    all of them. Rows stay as they are, repeated ones too; columns of docs with these names are replaced.
+
+    Blocks go one after the other, each result written, so that one block's items are in memory at a time.
     """
-    docs = docs.drop("n_hit", "item_ids", "matches")
-    parts = []
-    for k, block in enumerate(blocks(benchmark)):
-        sent, name = docs.sparkSession.sparkContext.broadcast(block), f"__matches_{k}"
-        parts.append(name)
-        docs = with_columns(docs, {"n_words": (T.LongType(), pa.int64()), name: (MATCH, ARROW_MATCH)}, _searcher(sent, window, text), text, SHARD_BYTES)
-    if not parts:
-        docs = with_columns(docs, {"n_words": (T.LongType(), pa.int64())}, _counter(text), text)
-    matches = F.concat(*parts) if parts else F.array().cast(MATCH)
+    docs = docs.drop("n_hit", "item_ids", "matches", *_NEW)
+    last, found = None, False
+    for block in blocks(benchmark):
+        if last is not None:
+            docs = _with_block(saved(docs, "matches") if found else docs, last, window, text)
+            found = True
+        last = block
+    docs = with_columns(docs, {"n_words": (T.LongType(), pa.int64())}, _counter(text), text) if last is None else _with_block(saved(docs, "matches") if found else docs, last, window, text)
+    docs = docs.withColumnsRenamed({"__matches": "matches", "__ids": "item_ids"}) if last is not None else docs.withColumns({"matches": F.array().cast(MATCH), "item_ids": F.array().cast("array<string>")})
     covered = F.aggregate(
         F.array_sort(F.transform("matches", lambda m: F.struct(m.doc_word.cast("long").alias("a"), (m.doc_word + m.n_words).cast("long").alias("b")))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda s, x: F.struct((s.n + F.greatest(F.lit(0).cast("long"), x.b - F.greatest(x.a, s.end))).alias("n"), F.greatest(s.end, x.b).alias("end")),
         lambda s: s.n,
     )
-    item_ids = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m.item_id), lambda x: x.isNotNull())))
-    return docs.withColumn("matches", matches).drop(*parts).withColumns({"n_hit": covered, "item_ids": item_ids})
+    order = [c for c in docs.columns if c not in ("item_ids", "matches")]
+    return docs.select(*order, "matches", covered.alias("n_hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
+
+
+_NEW = ("__matches", "__ids", "__new_matches", "__new_ids")
+
+
+def _with_block(docs: DataFrame, block: Items, window: int, text: str) -> DataFrame:
+    """docs with what one more block of items gives added to __matches and __ids."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    ids = T.ArrayType(T.StringType())
+    added = {"n_words": (T.LongType(), pa.int64()), "__new_matches": (MATCH, ARROW_MATCH), "__new_ids": (ids, pa.list_(pa.string()))}
+    both = with_columns(docs, added, _searcher(sent, window, text), text, SHARD_BYTES)
+    for old, new in (("__matches", "__new_matches"), ("__ids", "__new_ids")):
+        both = both.withColumn(old, F.concat(old, new) if old in both.columns else F.col(new)).drop(new)
+    return both
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
@@ -221,7 +247,8 @@ def _counter(text: str):
 def _searcher(sent, window: int, text: str):
     def start():
         items: Items = sent.value
-        ids = pa.array(items.ids, pa.string())
+        ids = pa.array([x[0] if x else None for x in items.ids], pa.string())
+        every, begin = pa.array([y for x in items.ids for y in x], pa.string()), np.concatenate([[0], np.cumsum([len(x) for x in items.ids])])
 
         def search(batch: pa.RecordBatch) -> list:
             first, ranks = _word_ranks(batch, text, items.vocabulary)
@@ -231,7 +258,13 @@ def _searcher(sent, window: int, text: str):
             item, j, p, n, row = item[sort], j[sort], p[sort], n[sort], row[sort]
             struct = pa.StructArray.from_arrays([ids.take(pa.array(item)), pa.array((j - items.start[item]).astype(np.int32)), pa.array((p - first[row] - row).astype(np.int32)), pa.array(n.astype(np.int32))], names=["item_id", "item_word", "doc_word", "n_words"])
             ends = np.searchsorted(row, np.arange(len(first)))
-            return [np.diff(first), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), struct)]
+            # The ids of the distinct items of each row.
+            hit = np.unique(row * len(items.ids) + item)
+            row, item = hit // max(1, len(items.ids)), hit % max(1, len(items.ids))
+            size = begin[item + 1] - begin[item]
+            listed = every.take(pa.array(np.repeat(begin[item] - np.cumsum(size) + size, size) + np.arange(size.sum())))
+            edges = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(row, np.arange(len(first)))]
+            return [np.diff(first), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), struct), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), listed)]
 
         return search
 

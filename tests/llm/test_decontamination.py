@@ -31,6 +31,7 @@ def test_as_brute_force(spark, monkeypatch, block_words):
     rng = np.random.default_rng(3)
     some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4, n))
     items = [(1, some(12)), (2, some(3)), (None, some(4)), (10, some(30)), (4, None), (5, " -"), (7, "É2 x"), (2, some(9))]
+    items += [(11, items[0][1]), (None, items[1][1]), (12, items[3][1].upper()), (13, "w1"), (14, "w1"), (14, "W1")]
     docs = [(i, some(int(rng.integers(0, 60)))) for i in range(30)] + [(90, None), (91, ""), (92, "a É2 X É2"), (92, "a É2 X É2"), (None, items[3][1] * 3)]
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, matches string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -45,6 +46,14 @@ def test_as_brute_force(spark, monkeypatch, block_words):
     assert kept.columns == frame.columns and kept.count() == sum(x[2] == 0 for x in want)
 
 
+def test_equal_items_are_searched_once(spark):
+    """Hundreds of equal one-word items and a text full of the word: one match, all ids."""
+    bench = spark.createDataFrame([(i, "word") for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "word " * 50_000), (2, "other " * 50_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in D.contamination(docs, bench).collect()}
+    assert got[1].n_hit == 50_000 and len(got[1].item_ids) == 300 and len(got[1].matches) == 50_000 and got[2].n_hit == 0
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert D.contamination(docs, bench.limit(0)).first().n_hit == 0
