@@ -27,7 +27,11 @@ _RUN = "[0-9A-Za-z+/_-]"
 _KNOWN = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|[sr]k_live_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+"
 _NAME = r"""(?i:passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?(?:[_-]base)?|private[_-]?keys?|credentials?|auth|[_-]keys?|[_-]key[_-]base)["']?\s{0,3}(?:=>|:=|=|:)\s{0,3}["']?"""
 _ASSIGNED = _NAME + r"""[^\s"'<>,;(){}]{6,}+"""
-_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[0-9A-Za-z+/=\s\\]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+#: A key block up to its END line, whatever is inside; without one the header fields and long base64 runs after BEGIN.
+_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?>(?s:.*?)-----)END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:[\s\\]*+(?:[A-Za-z-]{1,40}+: [^\r\n]*+|n?[0-9A-Za-z+/=]{16,}+))*+(?:[\s\\]*+[0-9A-Za-z+/]{1,15}+={1,2}+)?+)"
+)
 _LONG = rf"(?<![0-9A-Za-z+/_.-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}{{20,}}+=?=?"
 CANDIDATE = f"(?<![0-9A-Za-z_])(?:{_KNOWN})|{_ASSIGNED}|{_BLOCK}|{_LONG}"
 #: A cheap test that every text with a candidate passes.
@@ -148,18 +152,24 @@ def scan(docs: DataFrame, trees: list | None = None, text: str = "text") -> Data
     docs = docs.drop("pieces", "findings").withColumn("pieces", F.when(maybe, F.split(whole, CANDIDATE, -1)).otherwise(F.array(whole)))
     matches = F.when(F.size("pieces") > 1, F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     docs = docs.withColumn("findings", matches)
+    # Arrays meet by arrays_zip, never by place inside a function of elements, where they would be made anew for each.
+    n = F.size("findings")
+    docs = docs.withColumns({"__before": F.slice("pieces", 1, n), "__after": F.slice("pieces", 2, n)})
     starts = F.aggregate(
-        F.sequence(F.lit(0), F.size("findings") - 1),
+        F.arrays_zip("__before", "findings"),
         F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("all")),
-        lambda s, i: F.struct((s.n + F.length(F.get("pieces", i)) + F.length(F.get("findings", i))).alias("n"), F.array_append(s.all, s.n + F.length(F.get("pieces", i))).alias("all")),
+        lambda s, x: F.struct((s.n + F.length(x["__before"]) + F.length(x["findings"])).alias("n"), F.array_append(s.all, s.n + F.length(x["__before"])).alias("all")),
         lambda s: s.all,
     )
-    docs = docs.withColumn("starts", F.when(F.size("findings") > 0, starts).otherwise(F.array().cast("array<long>")))
-    rows = F.transform("findings", lambda m, i: F.struct(m.alias("match"), F.get("starts", i).alias("start"), features(m, F.right(F.get("pieces", i), F.lit(60)), F.left(F.get("pieces", i + 1), F.lit(10))).alias("f")))
+    docs = docs.withColumn("__start", starts)
+    rows = F.transform(
+        F.arrays_zip("findings", "__start", "__before", "__after"),
+        lambda x: F.struct(x["findings"].alias("match"), x["__start"].alias("start"), features(x["findings"], F.right(x["__before"], F.lit(60)), F.left(x["__after"], F.lit(10))).alias("f")),
+    )
     score = lambda r: reduce(lambda a, b: a + b, (judged(t, r.f) for t in trees)) / len(trees)
     scored = F.transform(rows, lambda r: F.struct(r.match.alias("match"), r.start.alias("start"), score(r).alias("score")))
     named = F.transform(scored, lambda r: F.struct(r.match.alias("match"), r.start.alias("start"), r.score.alias("score"), (r.score >= THRESHOLD).alias("secret")))
-    return docs.withColumn("findings", F.when(F.size("findings") > 0, named).otherwise(F.array().cast("array<struct<match:string,start:bigint,score:double,secret:boolean>>"))).drop("starts")
+    return docs.withColumn("findings", F.when(F.size("findings") > 0, named).otherwise(F.array().cast("array<struct<match:string,start:bigint,score:double,secret:boolean>>"))).drop("__before", "__after", "__start")
 
 
 def redacted(docs: DataFrame, trees: list | None = None, text: str = "text") -> DataFrame:
@@ -167,7 +177,7 @@ def redacted(docs: DataFrame, trees: list | None = None, text: str = "text") ->
     found = scan(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), trees)
     clean = F.concat(
         F.get("pieces", F.lit(0)),
-        F.array_join(F.transform("findings", lambda r, i: F.concat(F.when(r.secret, F.lit(MASK)).otherwise(r.match), F.get("pieces", i + 1))), ""),
+        F.array_join(F.zip_with("findings", F.slice("pieces", 2, F.size("findings")), lambda r, after: F.concat(F.when(r.secret, F.lit(MASK)).otherwise(r.match), after)), ""),
     )
     clean = F.when(F.exists("findings", lambda r: r.secret), clean).otherwise(F.col(f"row.{text}"))
     return found.withColumn("row", F.col("row").withField(text, clean)).select("row.*")
