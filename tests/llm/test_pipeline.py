@@ -1,6 +1,6 @@
 import numpy as np
 from test_decontamination import brute as leaks
-from test_simhash import brute as prints
+from test_similar import brute as alike
 
 import corpus_pipeline as P
 from strideline.llm import quality, secrets
@@ -26,12 +26,7 @@ def test_stages_as_brute_force(spark, tmp_path):
     model = quality.learn(docs.select("doc_id", "text"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
     good = [r for r in quality.scored(docs, model).collect() if r.score >= quality.THRESHOLD]
     assert {r.doc_id for r in good} >= {i for i in range(120) if i % 4} and not {i for i in range(0, 120, 4)} & {r.doc_id for r in good}
-    marks, group = prints([r.text for r in good]), list(range(len(good)))
-    for _ in good:
-        for i in range(len(good)):
-            for j in range(len(good)):
-                if (marks[i] ^ marks[j]).bit_count() <= 4:
-                    group[i] = min(group[i], group[j])
+    group, _ = alike([r.text for r in good], 0.8)
     best = {}
     for i, r in enumerate(good):
         key = (r.doc_id is None, r.doc_id or 0)
