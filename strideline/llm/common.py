@@ -57,6 +57,27 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bitmaps (4 KiB each, for 32,768 numbers) that are broadcast at most: 16 MiB.
+BITMAPS = 4096
+
+
+def picked(rows: DataFrame, ids: DataFrame, inside: bool = True, bitmaps: int = BITMAPS) -> DataFrame:
+    """The rows whose number n is (or with inside=False isn't) among ids.n, without a shuffle of rows.
+
+    ids become bitmaps, which are broadcast; if there are more than so many, rows are joined by a shuffle. n comes from
+    monotonically_increasing_id, is never null, and the same in every run. ids must be a written table.
+    """
+    blocks = ids.select(F.bitmap_bucket_number("n").alias("_block"), F.bitmap_bit_position("n").alias("at")).repartition("_block")
+    maps = saved(blocks.groupBy("_block").agg(F.bitmap_construct_agg("at").alias("_bits")), "bitmaps")
+    if maps.count() > bitmaps:
+        return rows.join(ids, "n", "left_semi" if inside else "left_anti")
+    at = "cast(bitmap_bit_position(n) as int)"
+    byte = f"ascii(decode(substring(_bits, {at} div 8 + 1, 1), 'ISO-8859-1'))"
+    bit = F.expr(f"coalesce(shiftright({byte}, {at} % 8) & 1, 0)")
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number("n") == maps["_block"], "left")
+    return joined.where(bit != 0 if inside else bit == 0).drop("_block", "_bits")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small enough for long texts; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
