@@ -2,23 +2,24 @@
 
 Whole texts are encoded with the tokenizers library. A rolling hash over the last ids cuts each document's id stream into
 chunks wherever its low bits are zero, so equal passages give equal chunks. Each unique chunk is stored once, under the
-BLAKE2b digest of its ids as little-endian unsigned integers: of 16 bits where the tokenizer has at most 65,536 ids, else of 32. A document's recipe is the list of its chunks'
-digests; their Merkle root verifies it. The manifest holds the recipes in ascending order of document ids; a Merkle tree
-over its entries, with nodes of up to FAN entries, gives the root that verifies the whole store.
+BLAKE2b digest of its ids as little-endian unsigned integers: of 16 bits where the tokenizer has at most 65,536 ids, else
+of 32. A document's recipe is the list of its chunks' digests; their Merkle root verifies it. The manifest holds the
+recipes in ascending order of document ids; a Merkle tree over its entries, with nodes of up to FAN entries, gives the
+root that verifies the whole store.
 
 Encoding looks up pre-tokens: the pattern that splits text is evaluated over whole batches of code points, each distinct
-pre-token of a batch is encoded once by the library's model (to which the library gives pre-tokens separately, too), and a
-bounded cache keeps those that come again. Texts with a special token's string go through the library whole.
+pre-token is encoded once by the library's model (to which the library gives pre-tokens separately, too), and a bounded
+table by hash keeps those that come again. Texts with a special token's string go through the library whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,8 +34,8 @@ from .common import bounded_batches, byte_lengths, mixed, read, saved, scratch,
 END_ID = 2
 #: Ids in a chunk on average (a power of 2) and at most; ids that the rolling hash sees.
 MEAN, MOST, ROLL = 512, 8192, 8
-#: Pre-tokens that a worker remembers.
-CACHED = 600_000
+#: Places for pre-tokens that a worker remembers (a power of 2), with up to four times as many ids.
+SLOTS = 1 << 21
 #: Entries under one node of the manifest's tree.
 FAN = 4096
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -107,12 +108,52 @@ def pre_tokens(points: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.n
     return np.flatnonzero(start)
 
 
+class Known:
+    """Ids of pre-tokens by hash, in arrays of fixed size.
+
+    A hash has two places; a new one takes the first if it is free, else it drives out what the second has. The ids
+    themselves lie in a pool, and all is forgotten once that is full.
+    """
+
+    def __init__(self, slots: int = SLOTS):
+        self.keys, self.begin, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.pool, self.used, self.most = np.zeros(1 << 16, np.uint32), 0, 4 * slots
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(len(self.keys) - 1)
+        return (keys & mask).astype(np.int64), (keys >> np.uint64(32) & mask).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each key's ids begin in the pool, how many there are, and whether it is known."""
+        first, second = self.places(keys)
+        at = np.where(self.keys[first] == keys, first, second)
+        return self.begin[at].astype(np.int64), self.size[at].astype(np.int64), self.keys[at] == keys
+
+    def room(self) -> None:
+        """Forgets everything if the pool is full."""
+        if self.used > self.most:
+            self.keys[:], self.used = 0, 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Puts the ids of distinct new keys into the pool; where each begins there."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(size) - size
+        first, second = self.places(keys)
+        at = np.where(self.keys[first] == 0, first, second)
+        self.keys[at], self.begin[at], self.size[at] = keys, begin, size
+        self.used += len(ids)
+        return begin
+
+
 class Encoder:
     """Ids of whole texts, as the library gives them without special tokens."""
 
-    def __init__(self, tokenizer: Tokenizer, table: np.ndarray):
-        self.tokenizer, self.table = tokenizer, table
-        self.known: dict[str, bytes] = {}
+    def __init__(self, tokenizer: Tokenizer, table: np.ndarray, slots: int = SLOTS):
+        self.tokenizer, self.table, self.known = tokenizer, table, Known(slots)
+        self.letters = np.array([ord(byte_letters().get(b, chr(b))) for b in range(256)], np.uint32)
+        self.mixed = mixed(np.arange(1, len(table) + 1, dtype=np.uint64))
         self.special = [] if tokenizer.encode_special_tokens else [x.content for x in tokenizer.get_added_tokens_decoder().values()]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +166,16 @@ class Encoder:
         own = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) if m else ids[a:b] for x, m, a, b in zip(texts, marked, first[:-1], first[1:], strict=True)]
         return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
 
+    def _tokenized(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens one after the other, and how many each has."""
+        raw = [x.encode() for x in names]
+        letters = self.letters[np.frombuffer(b"".join(raw), np.uint8)].astype("<u4").tobytes().decode("utf-32-le")
+        end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))).tolist()
+        tokenize = self.tokenizer.model.tokenize
+        found = [[x.id for x in tokenize(letters[a:b])] for a, b in zip([0, *end], end, strict=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
     def _plain(self, texts: list[str], whole: str) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
@@ -134,20 +185,18 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         weights = _weights(len(points))
         total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * weights[0][: len(points)], out=total[1:])
-        _, at, back = np.unique(mixed((total[ends] - total[starts]) * weights[1][starts] + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
-        names = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        got, letters, tokenize = list(map(self.known.get, names)), byte_letters(), self.tokenizer.model.tokenize
-        missing = [i for i, x in enumerate(got) if x is None]
-        for i in missing:
-            found = [x.id for x in tokenize(names[i].encode().decode("latin-1").translate(letters))]
-            got[i] = struct.pack(f"{len(found)}I", *found)
-            if len(self.known) < CACHED:
-                self.known[names[i]] = got[i]
-        ids, size = np.frombuffer(b"".join(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)) // 4
-        begin, n = (np.cumsum(size) - size)[back], size[back]
+        np.cumsum(self.mixed[points] * weights[0][: len(points)], out=total[1:])
+        keys = np.maximum(mixed((total[ends] - total[starts]) * weights[1][starts] + (ends - starts).astype(np.uint64)), np.uint64(1))
+        self.known.room()
+        begin, n, found = self.known.find(keys)
+        missing = np.flatnonzero(~found)
+        if len(missing):
+            some, at, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            at = missing[at]
+            ids, size = self._tokenized([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            begin[missing], n[missing] = self.known.add(some, ids, size)[back], size[back]
         end = np.cumsum(n)
-        out = ids[np.repeat(begin - end + n, n) + np.arange(end[-1])]
+        out = self.known.pool[np.repeat(begin - end + n, n) + np.arange(end[-1])]
         return out, np.concatenate([[0], end])[np.searchsorted(starts, first)]
 
 

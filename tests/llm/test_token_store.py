@@ -22,6 +22,14 @@ def test_ids_as_the_library_gives_them(texts):
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [x.ids for x in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_ids_from_a_table_that_forgets():
+    encode, rng = S.Encoder(S.load(FILE), CLASSES, 8), np.random.default_rng(2)
+    for _ in range(40):
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 20)), "", " the cat's"]
+        ids, first = encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [x.ids for x in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_special_tokens_as_the_library_or_as_text():
     texts = ["a<|endoftext|>b", "", "plain", "<|endoftext|>", "<|endoftext |>"]
     ids, first = ENCODER(texts)
