@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 1 << 20
 #: Rows that Spark puts into one Arrow batch at most; very long rows make batches large.
 BATCH_ROWS = 2048
+#: Bytes after which Spark closes an Arrow batch, which one row can still exceed.
+BATCH_BYTES = 16 << 20
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -79,10 +81,11 @@ def picked(rows: DataFrame, ids: DataFrame, inside: bool = True, bitmaps: int =
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for long texts; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keeps Arrow batches small in rows and bytes, for long texts and packed arrays; smaller settings of the session stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        given = spark.conf.get(f"spark.sql.execution.arrow.{name}", None) or "0"
+        if not given.isdigit() or not 0 < int(given) <= most:  # not all digits: with a unit, or below 0 for no limit
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def slices(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
