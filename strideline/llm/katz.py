@@ -15,8 +15,9 @@ The model's tables lie in the shared folder: unigrams by word, bigrams by bucket
   which documents do how often, packed. A bucket therefore counts a pair over the whole corpus, and later gives each of
   those documents the sum of its pairs' log probabilities, without the texts.
 * Words with a thousandth of all tokens are at most a thousand. Pairs of two such words are counted in a table of at most
-  a million rows, broadcast; their requests are dealt out by chunk. Pairs with one such history are dealt out by pair;
-  the weights of these histories are summed up over the buckets and broadcast.
+  a million rows, broadcast; their requests are dealt out by chunk.
+* A history of so many tokens, or of as many as a bucket should have, is split: its pairs are dealt out by pair. The
+  weights of these histories, one for BUCKET_TOKENS tokens or a thousand at most, are summed up over the buckets and broadcast.
 """
 
 from __future__ import annotations
@@ -81,7 +82,8 @@ class Vocabulary:
     tokens: int
     types: int
     unseen: float  #: probability of all unseen words together
-    hot: np.ndarray
+    hot: np.ndarray  #: words with a thousandth of all tokens
+    split: np.ndarray  #: histories whose pairs are too many for one bucket
     whole: bool = False  #: no UNK: words outside have ids of their own
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -96,6 +98,9 @@ class Vocabulary:
     def is_hot(self, ids: np.ndarray) -> np.ndarray:
         return self.hot[np.maximum(ids, 0)] & (ids >= 0)
 
+    def is_split(self, ids: np.ndarray) -> np.ndarray:
+        return self.split[np.maximum(ids, 0)] & (ids >= 0)
+
     def share(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Unigram probabilities; counts: those of the words outside."""
         other = np.where(counts > 0, discounted(counts, self.factors) / max(1, self.tokens), self.unseen)
@@ -130,7 +135,7 @@ def unigrams(texts: DataFrame) -> DataFrame:
     return saved(texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
 
 
-def vocabulary(counts: DataFrame, most: int | None = None) -> tuple[Vocabulary, int]:
+def vocabulary(counts: DataFrame, most: int | None = None, bucket_tokens: int = BUCKET_TOKENS) -> tuple[Vocabulary, int]:
     """The vocabulary, and the least count of a word in its table."""
     cap, whole, most = 100_000, most is None, VOCABULARY if most is None else most
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -155,7 +160,7 @@ def vocabulary(counts: DataFrame, most: int | None = None) -> tuple[Vocabulary,
     inside = np.append(np.concatenate([[tokens - n.sum()], n]), documents)
     share = np.concatenate([[max(1 - p.sum(), 1e-12)], p, [0.0]])
     hot = inside * HOT_SHARE >= max(1, tokens)
-    return Vocabulary(found, inside, share, factors * scale, int(tokens), int(types), unseen, hot, whole), least
+    return Vocabulary(found, inside, share, factors * scale, int(tokens), int(types), unseen, hot, hot | (inside >= bucket_tokens), whole), least
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -207,8 +212,8 @@ def _before(ids: np.ndarray, first: np.ndarray, beginning: int) -> np.ndarray:
 
 
 def _bucket(before: np.ndarray, ids: np.ndarray, v: Vocabulary, buckets: int) -> np.ndarray:
-    """The bucket of each pair that isn't hot: that of its history, or of the pair if its history is hot."""
-    by = np.where(v.is_hot(before), mixed((before * np.int64(1000003)).view(np.uint64)) ^ mixed(ids.view(np.uint64)), before.view(np.uint64))
+    """The bucket of each pair that isn't hot: that of its history, or of the pair if its history is split."""
+    by = np.where(v.is_split(before), mixed((before * np.int64(1000003)).view(np.uint64)) ^ mixed(ids.view(np.uint64)), before.view(np.uint64))
     return (mixed(by) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -371,7 +376,7 @@ def weights_of(count: np.ndarray, mass: np.ndarray, p: np.ndarray) -> tuple[np.n
 
 @dataclass
 class Backoff:
-    """Discount factors of pairs, denominators and log10 weights of the hot histories, and the hot pairs with their counts."""
+    """Discount factors of pairs, denominators and log10 weights of the split histories, and the hot pairs with their counts."""
 
     factors: np.ndarray
     histories: np.ndarray
@@ -387,9 +392,9 @@ class Backoff:
         of, some, p, seen = np.cumsum(fresh) - 1, h[fresh], v.share(w, outside), count > 0
         n = len(some)
         denominator, alpha = weights_of(np.bincount(of, count, n), np.bincount(of, discounted(count, self.factors), n), np.bincount(of, np.where(seen, p, 0), n))
-        hot = np.flatnonzero(v.is_hot(some))
-        at = np.searchsorted(self.histories, some[hot])
-        denominator[hot], alpha[hot] = self.denominator[at], self.alpha[at]
+        split = np.flatnonzero(v.is_split(some))
+        at = np.searchsorted(self.histories, some[split])
+        denominator[split], alpha[split] = self.denominator[at], self.alpha[at]
         out = alpha[of] + np.log10(np.maximum(p, 1e-300))
         out[seen] = np.log10(discounted(count[seen], self.factors) / denominator[of[seen]])
         return out
@@ -413,7 +418,7 @@ def backoff(table: DataFrame, vocab, hot: tuple[np.ndarray, np.ndarray]) -> Back
     factors = discounts(of)
 
     def sums(h: np.ndarray, w: np.ndarray, total: np.ndarray, outside: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        pick = (total > 0) & v.is_hot(h)
+        pick = (total > 0) & v.is_split(h)
         h, w, total, outside = h[pick], w[pick], total[pick], outside[pick]
         h, back = np.unique(h, return_inverse=True)
         return h, np.bincount(back, discounted(total, factors), len(h)), np.bincount(back, v.share(w, outside), len(h))
@@ -425,7 +430,7 @@ def backoff(table: DataFrame, vocab, hot: tuple[np.ndarray, np.ndarray]) -> Back
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums(np.cumsum(delta), w, total, outside, vocab.value)], names=["h", "mass", "p"])
 
     weights = saved(table.select("data").mapInArrow(histories, "h long, mass double, p double").groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("p").alias("p")), "backoff").toArrow()
-    some = np.flatnonzero(v.hot)
+    some = np.flatnonzero(v.split)
     mass, p = np.zeros(len(some)), np.zeros(len(some))
     for h, m, q in ((np.asarray(weights.column(0)), np.asarray(weights.column(1)), np.asarray(weights.column(2))), sums(hot[0] // size, hot[0] % size, hot[1], np.zeros_like(hot[1]), v)):
         at = np.searchsorted(some, h)
@@ -444,7 +449,7 @@ def scores(docs: DataFrame, training: Column, most: int | None = None, bucket_to
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~training).alias("held_out"))
     counts = unigrams(docs.where(~F.col("held_out")).select("text"))
-    model, least = vocabulary(counts, most)
+    model, least = vocabulary(counts, most, bucket_tokens)
     vocab = spark.sparkContext.broadcast(model)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffles, -(-model.tokens // bucket_tokens))

@@ -127,8 +127,8 @@ def whole_brute(rows, train):
     return out
 
 
-@pytest.mark.parametrize("table", [1 << 20, 40])
-def test_every_word_of_training_has_its_own_pairs(spark, monkeypatch, table):
+@pytest.mark.parametrize(("table", "bucket"), [(1 << 20, 300), (40, 300), (1 << 20, 60)])
+def test_every_word_of_training_has_its_own_pairs(spark, monkeypatch, table, bucket):
     monkeypatch.setattr(K, "CHUNK", 4000)
     monkeypatch.setattr(K, "HOT_SHARE", 30)
     monkeypatch.setattr(K, "VOCABULARY", table)
@@ -137,7 +137,7 @@ def test_every_word_of_training_has_its_own_pairs(spark, monkeypatch, table):
     rows = [(i, text(int(rng.integers(0, 90)))) for i in range(140)] + [(900, None), (901, ""), (902, "never seen before é é"), (903, "once met only"), (903, "rare met rare"), (904, "once met only rare met")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
-    got = sorted(tuple(r) for r in K.scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, bucket_tokens=300).collect())
+    got = sorted(tuple(r) for r in K.scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, bucket_tokens=bucket).collect())
     want = sorted(whole_brute(rows, train))
     assert [x[:5] for x in got] == [x[:5] for x in want]
     assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-6)
