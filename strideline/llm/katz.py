@@ -479,7 +479,7 @@ def scores(docs: DataFrame, training: Column, most: int | None = None, bucket_to
                 head = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (who[1:] != who[:-1])]))
                 value, chunk, who = np.add.reduceat(value, head), chunk[head], who[head]
                 cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
-                out = [_pack(np.diff(who[x:y], prepend=0).astype(np.int32), value[x:y].astype(np.float32)) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                out = [_pack(np.diff(who[x:y], prepend=0).astype(np.int32), value[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]]), pa.array(out, pa.binary())], names=["chunk", "data"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
