@@ -43,7 +43,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(fresh)
     solid = kind[edges[:-1]] != 0
     starts, ends = edges[:-1][solid], edges[1:][solid]
-    return (span_hashes(data, starts, ends) >> np.uint64(64 - 15)).astype(np.int64) & (BUCKETS - 1), np.searchsorted(starts, offsets)
+    return (span_hashes(data, starts, ends) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64) & (BUCKETS - 1), np.searchsorted(starts, offsets)
 
 
 def index_places(seed: int = 12) -> tuple[np.ndarray, np.ndarray]:
