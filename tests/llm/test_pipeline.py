@@ -58,3 +58,12 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert out.columns == docs.columns and out.count() > 20
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert P.STAGES[-1][1](spark, docs, str(tmp_path)).where("NOT round_trip").count() == 0
+
+
+def test_lengths_follow_masked_texts_only(spark, tmp_path):
+    secret = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    rows = [(1, "plain words", 11), (2, f"a {secret} b", len(secret) + 4), (3, None, 0), (4, "counted otherwise", 99), (5, f"a {secret} b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in P.mask_secrets(spark, docs, str(tmp_path)).collect()}
+    assert [got[i].n_chars for i in range(1, 6)] == [11, len(got[2].text), 0, 99, None] and secrets.MASK in got[2].text
+    assert P.mask_secrets(spark, docs, str(tmp_path)).schema["n_chars"] == docs.schema["n_chars"]
