@@ -8,8 +8,11 @@ error-free bits from either end of another: 24 choices, 127 join keys a text. At
 share one, 94 % at 0.85, 98 % at 0.9, over 99 % at 0.95 (independent bits; README has measured figures).
 
 Rows that share a join key are compared by 64 more bits of SimHash, which no key has, so that rows which met by chance
-pass as seldom as any others. A worker hands on a spanning forest of its
-candidates, the nearest first. Their shingle sets are then compared exactly, and links below the similarity go.
+pass as seldom as any others. A worker hands on all candidates of a key that form no cycle, else a spanning forest, the
+nearest first. Their shingle sets are then compared exactly, and links below the similarity go. A near pair that fails may
+hide a wider one that holds, so what the forests left out follows: rows that candidates of such keys connect are a heap,
+and in a heap that the links found leave in pieces all pairs across pieces are compared exactly, in blocks. Thus every
+candidate is compared, or joined by links already.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +36,14 @@ SHINGLE, SIMILARITY = 5, 0.8
 SEGMENTS, BITS, EXACT = 4, 23, 8
 #: Bits of 64 in which candidates differ at most: all but one in a hundred pairs at 0.8.
 APART = 16
-#: Rows of a join key that are compared pair by pair; beyond, rows within CLOSE bits of an earlier one meet others by it.
+#: Rows of a join key that are compared pair by pair; beyond, rows within CLOSE bits of an earlier one meet others by it first.
 WIDE, CLOSE = 8192, 4
+#: Rows of a key with candidates left out, from which on its middle row is a candidate of all others near it.
+STAR = 32
+#: Hashes of a block of a heap; two blocks are compared in one task.
+BLOCK = 1 << 20
+#: Links whose components one task finds; more go by rounds of stars.
+FEW = 1 << 20
 #: Rows that a worker holds before it compares them.
 HELD = 1 << 19
 SECOND, THIRD = np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
@@ -101,68 +110,142 @@ def nearest_first(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) ->
 
 
 def _pairs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places i < j with equal keys whose fingerprints differ in APART bits or fewer, and in how many."""
-    found, step, left = [], 1, np.arange(len(keys))
+    """A forest of the places i < j with equal keys whose fingerprints differ in APART bits or fewer; which places it left pairs of out."""
+    found, step, left, cut = [], 1, np.arange(len(keys)), np.zeros(len(keys), bool)
+
+    def kept() -> tuple[np.ndarray, ...]:
+        a, b, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        keep = nearest_first(len(keys), a, b, d)
+        out = np.ones(len(a), bool)
+        out[keep] = False
+        cut[a[out]] = True
+        return a[keep], b[keep], d[keep]
+
     while len(left):
         left = left[left + step < len(keys)]
         left = left[keys[left] == keys[left + step]]
         apart = np.bitwise_count(prints[left] ^ prints[left + step])
         near = apart <= APART
         found.append((left[near], left[near] + step, apart[near]))
-        if sum(len(x[0]) for x in found) > 1 << 22:  # only a forest of what was found is needed
-            found = [tuple(np.concatenate(x) for x in zip(*found, strict=True))]
-            keep = nearest_first(len(keys), *found[0])
-            found = [tuple(x[keep] for x in found[0])]
+        if sum(len(x[0]) for x in found) > 1 << 22:
+            found = [kept()]
         step += 1
-    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    return a, b, d
+    a, b, _ = kept()
+    return a, b, cut
+
+
+def _star(nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the row nearest to the majority in each bit and the rows within APART bits of it."""
+    ones = sum(np.unpackbits(prints[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(prints), 1 << 16))
+    hub = np.bitwise_count(prints ^ np.packbits(ones * 2 > len(prints), bitorder="little").view(np.uint64)[0]).argmin()
+    near = np.bitwise_count(prints ^ prints[hub]) <= APART
+    near[hub] = False
+    return np.full(near.sum(), nodes[hub]), nodes[near]
 
 
 class _Wide:
-    """Rows of a join key with very many: each is linked to the nearest row before it, but for those close to one already."""
+    """Rows of a join key with very many: pairs within APART bits that connect all that such pairs connect.
+
+    A row within CLOSE bits of an earlier hub is its member, others are hubs. A row meets all hubs, the rows that come with
+    it, and members of hubs that are too far by CLOSE bits or fewer, as long as they aren't connected.
+    """
 
     def __init__(self) -> None:
-        self.nodes, self.prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        self.hubs, self.prints, self.label = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.members: list[list[tuple[int, int]]] = []
 
     def __call__(self, nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
+        self.rows.append((nodes, prints))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(0, len(nodes), 256):
-            some, own = prints[i : i + 256], nodes[i : i + 256]
-            inner = np.bitwise_count(some[:, None] ^ some)
-            inner[np.triu_indices(len(some))] = 255
-            best, by = inner.min(1), own[inner.argmin(1)]
-            for k in range(0, len(self.prints), 1 << 14):
-                outer = np.bitwise_count(some[:, None] ^ self.prints[k : k + (1 << 14)])
-                least, at = outer.min(1), outer.argmin(1)
-                better = least < best
-                best, by = np.where(better, least, best), np.where(better, self.nodes[k + at], by)
-            hit = best <= APART
-            a.append(own[hit])
-            b.append(by[hit])
-            fresh = best > CLOSE
-            self.nodes, self.prints = np.append(self.nodes, own[fresh]), np.append(self.prints, some[fresh])
-        return np.concatenate(a), np.concatenate(b)
+            found += self._block(nodes[i : i + 256], prints[i : i + 256])
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+    def _block(self, own: np.ndarray, some: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        old, found = len(self.hubs), []
+        best, by = np.full(len(own), 255, np.uint8), np.zeros(len(own), np.int64)
+        for k in range(0, old, 1 << 14):
+            outer = np.bitwise_count(some[:, None] ^ self.prints[k : k + (1 << 14)])
+            least, at = outer.min(1), outer.argmin(1)
+            better = least < best
+            best, by = np.where(better, least, best), np.where(better, k + at, by)
+        fresh = best > CLOSE
+        hub = by.copy()
+        hub[fresh] = old + np.arange(fresh.sum())
+        self.hubs, self.prints = np.append(self.hubs, own[fresh]), np.append(self.prints, some[fresh])
+        self.label = np.append(self.label, hub[fresh])
+        self.members += [[] for _ in range(int(fresh.sum()))]
+        found.append((own[~fresh], self.hubs[by[~fresh]]))
+
+        def join(a: np.ndarray, b: np.ndarray, ha: np.ndarray, hb: np.ndarray, apart: np.ndarray) -> None:
+            x, y = self.label[ha], self.label[hb]
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((apart, high, low))
+            first = order[np.unique(low[order] * len(self.label) + high[order], return_index=True)[1]]
+            keep = first[nearest_first(len(self.label), low[first], high[first], apart[first])]
+            found.append((a[keep], b[keep]))
+            self.label = forest(len(self.label), x[keep], y[keep])[self.label]
+
+        near = np.flatnonzero(fresh & (best <= APART))
+        if len(near):
+            join(own[near], self.hubs[by[near]], hub[near], by[near], best[near])
+        inner = np.bitwise_count(some[:, None] ^ some)
+        r, c = np.nonzero((inner <= APART) & (self.label[hub][:, None] != self.label[hub]))
+        if len(r):
+            join(own[r], own[c], hub[r], hub[c], inner[r, c])
+        for k in range(0, old, 1 << 14):
+            outer = np.bitwise_count(some[:, None] ^ self.prints[k : min(k + (1 << 14), old)])
+            other = lambda: self.label[hub][:, None] != self.label[k : min(k + (1 << 14), old)]  # noqa: B023, E731
+            r, c = np.nonzero((outer <= APART) & other())
+            if len(r):
+                join(own[r], self.hubs[k + c], hub[r], k + c, outer[r, c])
+            r, c = np.nonzero((outer > APART) & (outer <= APART + CLOSE) & other())
+            for h in np.unique(c).tolist():
+                if not self.members[k + h]:
+                    continue
+                mine = r[c == h]
+                theirs, bits = (np.array(x, kind) for x, kind in zip(zip(*self.members[k + h], strict=True), (np.int64, np.uint64), strict=True))
+                apart = np.bitwise_count(some[mine][:, None] ^ bits)
+                x, y = np.nonzero((apart <= APART) & (self.label[hub[mine]] != self.label[k + h])[:, None])
+                if len(x):
+                    join(own[mine[x]], theirs[y], hub[mine[x]], np.full(len(x), k + h), apart[x, y])
+        for j in np.flatnonzero(~fresh).tolist():
+            self.members[by[j]].append((int(own[j]), int(some[j])))
+        return found
+
+    def star(self) -> tuple[np.ndarray, np.ndarray]:
+        return _star(*(np.concatenate(x) for x in zip(*self.rows, strict=True)))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From key, node, print, sorted by key, to pairs of nodes."""
+    """From key, node, print, sorted by key, to pairs of nodes, and whether they are of a key with more pairs than these."""
     held: list[tuple[np.ndarray, ...]] = []
     n, wide, wide_key = 0, _Wide(), None
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def out(a: np.ndarray, b: np.ndarray, cut: bool) -> pa.RecordBatch:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], cut))], names=["a", "b", "cut"])
 
     def flush(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(head, len(keys)))
         for h, m in zip(head[size > WIDE].tolist(), size[size > WIDE].tolist(), strict=True):
-            yield out(*_Wide()(nodes[h : h + m], prints[h : h + m]))
+            one = _Wide()
+            yield out(*one(nodes[h : h + m], prints[h : h + m]), True)
+            yield out(*one.star(), True)
         few = np.repeat((size > 1) & (size <= WIDE), size)
         keys, nodes, prints = keys[few], nodes[few], prints[few]
-        a, b, d = _pairs(keys, prints)
-        keep = nearest_first(len(keys), a, b, d)
-        yield out(nodes[a[keep]], nodes[b[keep]])
+        if not len(keys):
+            return
+        a, b, cut = _pairs(keys, prints)
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(head, len(keys)))
+        some = np.logical_or.reduceat(cut, head)
+        cut = np.repeat(some, size)[a]
+        yield out(nodes[a[~cut]], nodes[b[~cut]], False)
+        stars = [_star(nodes[h : h + m], prints[h : h + m]) for h, m in zip(head[some & (size >= STAR)].tolist(), size[some & (size >= STAR)].tolist(), strict=True)]
+        yield out(*(np.concatenate(x) for x in zip((nodes[a[cut]], nodes[b[cut]]), *stars, strict=True)), True)
 
     for batch in batches:
         keys, nodes, prints = (np.asarray(batch.column(i)) for i in range(3))
@@ -170,9 +253,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if wide_key is not None:  # the key that fills whole batches goes on
             same = int(np.searchsorted(keys, wide_key, "right"))
             if same:
-                yield out(*wide(nodes[:same], prints[:same]))
+                yield out(*wide(nodes[:same], prints[:same]), True)
                 keys, nodes, prints = keys[same:], nodes[same:], prints[same:]
             if len(keys):
+                yield out(*wide.star(), True)
                 wide_key = None
         if not len(keys):
             continue
@@ -186,15 +270,16 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n = [tuple(x[cut:] for x in whole)], n - cut
             if n > HELD // 2:
                 wide, wide_key = _Wide(), held[0][0][0]
-                yield out(*wide(*held[0][1:]))
+                yield out(*wide(*held[0][1:]), True)
                 held, n = [], 0
+    if wide_key is not None:
+        yield out(*wide.star(), True)
     if n:
         yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs of nodes (numbers of rows) whose shingle sets have at least the similarity."""
-    pairs = saved(pairs.distinct(), "candidates")
+def _sets(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """n, size and hashes (sorted, packed) of the rows that are in pairs."""
     touched = saved(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "touched")
 
     def start():
@@ -204,8 +289,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int
 
         return make
 
-    sets = with_columns(picked(rows.select("n", "text"), touched), {"hashes": (T.BinaryType(), pa.binary())}, start).select("n", "hashes")
-    sets = saved(sets, "shingle-sets")
+    sets = with_columns(picked(rows.select("n", "text"), touched), {"hashes": (T.BinaryType(), pa.binary())}, start)
+    return saved(sets.select("n", (F.octet_length("hashes") / 4).cast("long").alias("size"), "hashes"), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of nodes (numbers of rows) whose shingle sets have at least the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,12 +303,89 @@ def _verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int
                 x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(2)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], names=["a", "b"])
 
+    sets = sets.select("n", "hashes")
     joined = pairs.join(sets.withColumnsRenamed({"n": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"n": "b", "hashes": "y"}), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _across(table: pa.Table, similarity: float) -> pa.Table:
+    """The labels that links join, of all pairs of one block or of two (columns i, j, block, label, hashes)."""
+    block, names = (table.column(c).to_numpy() for c in ("block", "label"))
+    label = np.unique(names, return_inverse=True)[1]
+    sets = [np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()]
+    size, found = np.array([len(x) for x in sets], np.int64), []
+    odd = label != np.bincount(label).argmax()  # a pair of different labels has one of these
+
+    def sweep(ones: np.ndarray, others: np.ndarray) -> None:
+        if not len(ones) or not len(others):
+            return
+        flat, owner = np.concatenate([sets[k] for k in others]), np.repeat(np.arange(len(others)), size[others])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for k in ones.tolist():
+            if (label[others] == label[k]).all():
+                continue
+            start, many = np.searchsorted(flat, sets[k]), np.searchsorted(flat, sets[k], "right")
+            many -= start
+            at = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(owner[at], minlength=len(others))
+            linked = others[(both >= similarity * (size[k] + size[others] - both)) & (label[others] != label[k])]
+            for x, first in zip(*np.unique(label[linked], return_index=True), strict=True):
+                found.append((names[k], names[linked[first]]))
+                label[label == x] = label[k]
+
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    low, high = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if i == j:
+        sweep(low[odd[low]], low)
+    else:
+        sweep(low[odd[low]], high)
+        sweep(high[odd[high]], low[~odd[low]])
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs.min(1, initial=1 << 62), "b": pairs.max(1, initial=-1)})
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """components() of a written table, if small without its rounds."""
+    if edges.count() > FEW:
+        return saved(components(edges), "roots")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([np.asarray(x) for x in batch.columns], 1) for batch in batches)])
+        nodes, at = np.unique(pairs, return_inverse=True)
+        at = at.reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest(len(nodes), at[:, 0], at[:, 1])])], names=["node", "root"])
+
+    return saved(edges.select("a", "b").coalesce(1).mapInArrow(find, "node long, root long"), "roots")
+
+
+def _left_out(pairs: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Pairs of roots that links join between rows which cut pairs connect, enough to join all that such links join; None without such rows.
+
+    Blocks follow the sizes of sets, so that blocks whose sizes differ too much for the similarity never meet.
+    """
+    cut = pairs.where("cut").select("a", "b")
+    for side, label in (("a", "x"), ("b", "y")):
+        cut = cut.join(roots.select(F.col("node").alias(side), F.col("root").alias(label)), side, "left").withColumn(label, F.coalesce(label, side))
+    crossing = saved(cut.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "crossing")
+    if crossing.isEmpty():
+        return None
+    heaps = _roots(crossing).select(F.col("node").alias("label"), F.col("root").alias("heap"))
+    labelled = sets.select(F.col("n").alias("node"), "size").join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("label"))
+    parted = labelled.join(heaps, "label")
+    before = F.sum(F.col("size") + 64).over(Window.partitionBy("heap").orderBy("size", "node").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") - 64
+    blocked = saved(parted.withColumn("block", F.floor(before / BLOCK)), "blocked")
+    blocks = saved(blocked.groupBy("heap", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("label").alias("least"), F.max("label").alias("most")), "blocks")
+    one, other = (blocks.select("heap", *(F.col(c).alias(c + side) for c in blocks.columns[1:])) for side in "ij")
+    tasks = one.join(other, "heap").where("blocki <= blockj").where(F.col("highi") >= F.lit(similarity - 1e-9) * F.col("lowj"))
+    tasks = tasks.where("least(leasti, leastj) <> greatest(mosti, mostj)").select("heap", F.col("blocki").alias("i"), F.col("blockj").alias("j"))
+    sides = tasks.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    dealt = sides.join(blocked.drop("size"), ["heap", "block"]).join(sets.select(F.col("n").alias("node"), "hashes"), "node")
+    return dealt.select("heap", "i", "j", "block", "label", "hashes").groupBy("heap", "i", "j").applyInArrow(lambda table: _across(table, similarity), "a long, b long")
+
+
 def groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """n and group (the n that stands for a group) of rows n (unique), text, order (a struct; the least of a group stands for it).
 
@@ -248,9 +414,14 @@ def groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHING
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[i : i + 1024][row]), pa.array(compared[i : i + 1024][row])], names=["key", "node", "print"])
 
     keyed = nodes.select(F.col("least.n").alias("node"), "low", "high", "compared").mapInArrow(keys, "key long, node long, print long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long")
-    linked = saved(_verified(pairs, rows, similarity, shingle), "links")
-    roots = saved(components(linked), "roots")
+    pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long, cut boolean")
+    pairs = saved(pairs.groupBy("a", "b").agg(F.max("cut").alias("cut")), "candidates")
+    sets = _sets(pairs, rows, shingle)
+    linked = saved(_verified(pairs, sets, similarity), "links")
+    roots = _roots(linked)
+    more = _left_out(pairs, roots, sets, similarity)
+    if more is not None:
+        roots = _roots(linked.union(saved(more, "links")))
     rooted = nodes.select("digest", "least", F.col("least.n").alias("node")).join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     rooted = saved(rooted, "rooted")
     best = saved(rooted.groupBy("root").agg(F.min("least").alias("best")).select("root", F.col("best.n").alias("group")), "best")

@@ -111,6 +111,80 @@ def test_groups_of_copies_in_wide_keys(spark, monkeypatch, wide):
     assert (parent == 0).all()
 
 
+def star(rng, copies):
+    """A text and copies that are just like enough to it and less like each other, though their fingerprints are often nearer."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words)]
+    for k in range(copies):
+        copy = list(words)
+        for at in rng.choice(60, 6, replace=False) * 5:
+            copy[at] = f"new{k}-{at}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("limits", [(8192, 1 << 19, 1 << 20, 32, 1 << 20), (3, 40, 3000, 1 << 30, 0)])
+def test_no_candidate_is_lost_behind_nearer_ones_that_fail(spark, monkeypatch, limits):
+    """All pairs that share a key, are near by the other bits and like enough are together, in one block or in many."""
+    for name, value in zip(("WIDE", "HELD", "BLOCK", "STAR", "FEW"), limits, strict=True):
+        monkeypatch.setattr(S, name, value)
+    texts = star(np.random.default_rng(7), 150)
+    sets = S.shingle_sets(pa.array(texts))
+    low, high, compared = S.wide_prints(sets)
+    found, rows = S.join_keys(low, high)
+    own = [set(found[rows == i].tolist()) for i in range(len(texts))]
+    want, links = brute(texts, 0.8)
+    met = [(i, j) for i in range(len(texts)) for j in range(i) if own[i] & own[j] and np.bitwise_count(compared[i] ^ compared[j]) <= S.APART]
+    real = [(i, j) for i, j in met if jaccard(shingles(texts[i]), shingles(texts[j])) >= 0.8]
+    assert links == 150 and len(real) > 100 and len(met) > 20 * len(real)
+    got = grouped(spark, texts)
+    assert all(got[i] == got[j] for i, j in real) and all(want[i] == want[g] for i, g in enumerate(got))
+
+
+@pytest.mark.parametrize("close", [0, 4])
+def test_wide_keys_connect_what_pairs_connect(monkeypatch, close):
+    """Walks of a few bits a step, whose parts meet at any distance; against all pairs."""
+    monkeypatch.setattr(S, "CLOSE", close)
+    rng, prints = np.random.default_rng(11), []
+    for _ in range(40):
+        at = int(rng.integers(0, 1 << 63)) if not prints or rng.random() < 0.4 else prints[int(rng.integers(len(prints)))]
+        for _ in range(30):
+            for bit in rng.choice(64, int(rng.integers(0, 19)) if rng.random() < 0.2 else 2, replace=False).tolist():
+                at ^= 1 << bit
+            prints.append(at)
+    prints = np.array(prints, np.uint64)[rng.permutation(len(prints))]
+    n, found, wide = len(prints), [], S._Wide()
+    for part in np.array_split(np.arange(n), 7):
+        found.append(wide(part, prints[part]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    assert (np.bitwise_count(prints[a] ^ prints[b]) <= S.APART).all() and len(a) < 3 * n
+    x, y = np.nonzero(np.bitwise_count(prints[:, None] ^ prints) <= S.APART)
+    want = S.forest(n, x, y)
+    assert (S.forest(n, a, b) == want).all() and 5 < len(np.unique(want)) < n / 2
+
+
+def test_links_across_pieces_as_brute_force():
+    rng = np.random.default_rng(2)
+    pools = [rng.choice(1 << 20, 120, replace=False) for _ in range(6)]
+    sets = [np.sort(rng.choice(pools[int(rng.integers(6))], int(rng.integers(85, 115)), replace=False)).astype("<u4") for _ in range(90)]
+    label = rng.integers(0, 60, 90)
+    pairs = [(i, j) for i in range(90) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert len(pairs) > 20
+    own = [(int(x) + 90, i) for i, x in enumerate(label)]  # rows of a label are together before
+
+    def parts(links):
+        return S.forest(150, np.array([x for x, _ in [*own, *links]]), np.array([y for _, y in [*own, *links]])).tolist()
+
+    for blocks in (np.zeros(90, np.int64), rng.integers(0, 2, 90)):
+        links = []
+        for i, j in {(0, 0), (0, int(blocks.max())), (int(blocks.max()),) * 2}:
+            k = np.flatnonzero((blocks == i) | (blocks == j))
+            table = pa.table({"i": [i] * len(k), "j": [j] * len(k), "block": blocks[k], "label": label[k] + 90, "hashes": [sets[x].tobytes() for x in k]})
+            out = S._across(table, 0.8)
+            links += zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)
+        assert parts(links) == parts(pairs)
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(5, text, 1, "k"), (5, text, 1, "k"), (2, text.upper(), 2, "k"), (8, text.replace("w50", "other"), 2, None), (None, None, 3, "k"), (None, "", 4, "k"), (9, "q r s t u v w", None, "k")]
