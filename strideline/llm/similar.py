@@ -13,6 +13,9 @@ nearest first. Their shingle sets are then compared exactly, and links below the
 hide a wider one that holds, so what the forests left out follows: rows that candidates of such keys connect are a heap,
 and in a heap that the links found leave in pieces all pairs across pieces are compared exactly, in blocks. Thus every
 candidate is compared, or joined by links already.
+
+Rows much alike share most of their keys, so keys go in two rounds. The first has four of the 24 choices, whose candidates
+give the heaps so far. Pairs within one are compared anyway, so the other keys hand on pairs of different heaps only.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from .sketches import sketches
 SHINGLE, SIMILARITY = 5, 0.8
 #: Segments of a fingerprint and their bits; error-free bits of a join key.
 SEGMENTS, BITS, EXACT = 4, 23, 8
+#: Join keys of the first round: segment, the other segment and its end.
+FIRST = frozenset((s, (s + 1) % SEGMENTS, 0) for s in range(SEGMENTS))
 #: Bits of 64 in which candidates differ at most: all but one in a hundred pairs at 0.8.
 APART = 16
 #: Rows of a join key that are compared pair by pair; beyond, rows within CLOSE bits of an earlier one meet others by it first.
@@ -71,8 +76,8 @@ def wide_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return low.copy(), high & np.uint64((1 << 28) - 1), compared.copy()
 
 
-def join_keys(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All join keys of fingerprints with the index of the fingerprint that each belongs to."""
+def join_keys(low: np.ndarray, high: np.ndarray, first: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All join keys of fingerprints, or those of one round, with the index of the fingerprint that each belongs to."""
     mask, rows = np.uint64((1 << BITS) - 1), np.arange(len(low))
     parts = [low & mask, low >> np.uint64(BITS) & mask, (low >> np.uint64(2 * BITS) | high << np.uint64(64 - 2 * BITS)) & mask, high >> np.uint64(3 * BITS - 64) & mask]
     words, out = [x.astype(np.int64) for x in parts], []
@@ -85,6 +90,8 @@ def join_keys(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray
         r, c = np.nonzero(fresh)
         for t in range(SEGMENTS):
             for end in range(2 if t != s else 0):
+                if first is not None and first != ((s, t, end) in FIRST):
+                    continue
                 out.append((((s * SEGMENTS + t) * 2 + end) << (12 + EXACT) | ends[t][end][r] << 12 | near[r, c], rows[r]))
     return np.concatenate([k for k, _ in out]), np.concatenate([r for _, r in out])
 
@@ -109,8 +116,15 @@ def nearest_first(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) ->
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def _pairs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A forest of the places i < j with equal keys whose fingerprints differ in APART bits or fewer; which places it left pairs of out."""
+def _bridges(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which pairs form a spanning forest of the labels x and y of their ends, the nearest first."""
+    cross = np.flatnonzero(x != y)
+    names, at = np.unique(np.concatenate([x[cross], y[cross]]), return_inverse=True)
+    return cross[nearest_first(len(names), at[: len(cross)], at[len(cross) :], apart[cross])]
+
+
+def _pairs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A forest of the places i < j with equal keys whose fingerprints differ in APART bits or fewer, and in how many; which places it left pairs of out."""
     found, step, left, cut = [], 1, np.arange(len(keys)), np.zeros(len(keys), bool)
 
     def kept() -> tuple[np.ndarray, ...]:
@@ -130,8 +144,7 @@ def _pairs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if sum(len(x[0]) for x in found) > 1 << 22:
             found = [kept()]
         step += 1
-    a, b, _ = kept()
-    return a, b, cut
+    return *kept(), cut
 
 
 def _star(nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,20 +160,28 @@ class _Wide:
     """Rows of a join key with very many: pairs within APART bits that connect all that such pairs connect.
 
     A row within CLOSE bits of an earlier hub is its member, others are hubs. A row meets all hubs, the rows that come with
-    it, and members of hubs that are too far by CLOSE bits or fewer, as long as they aren't connected.
+    it, and members of hubs that are too far by CLOSE bits or fewer, as long as they aren't connected. Where rows (by number)
+    have labels, only pairs that connect labels go out.
     """
 
     def __init__(self) -> None:
-        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows: list[tuple[np.ndarray, ...]] = []
         self.hubs, self.prints, self.label = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.members: list[list[tuple[int, int]]] = []
 
-    def __call__(self, nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.rows.append((nodes, prints))
+    def __call__(self, nodes: np.ndarray, prints: np.ndarray, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        self.rows.append((nodes, prints) if labels is None else (nodes, prints, labels))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(0, len(nodes), 256):
             found += self._block(nodes[i : i + 256], prints[i : i + 256])
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return self._between(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 2
+
+    def _between(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nodes, _, *labels = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        if not labels:
+            return a, b
+        keep = _bridges(*(labels[0][np.searchsorted(nodes, x)] for x in (a, b)), np.zeros(len(a)))
+        return a[keep], b[keep]
 
     def _block(self, own: np.ndarray, some: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         old, found = len(self.hubs), []
@@ -215,11 +236,15 @@ class _Wide:
         return found
 
     def star(self) -> tuple[np.ndarray, np.ndarray]:
-        return _star(*(np.concatenate(x) for x in zip(*self.rows, strict=True)))
+        return self._between(*_star(*(np.concatenate(x) for x in list(zip(*self.rows, strict=True))[:2])))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From key, node, print, sorted by key, to pairs of nodes, and whether they are of a key with more pairs than these."""
+    """From key, node, print, sorted by key and node, to pairs of nodes, and whether they are of a key with more pairs than these.
+
+    With a fourth column, label, pairs within a label are known to others: of those between labels all go out, or of a key
+    with more pairs a spanning forest of its labels.
+    """
     held: list[tuple[np.ndarray, ...]] = []
     n, wide, wide_key = 0, _Wide(), None
 
@@ -227,43 +252,63 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], cut))], names=["a", "b", "cut"])
 
-    def flush(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        size = np.diff(np.append(head, len(keys)))
+        return head, np.diff(np.append(head, len(keys)))
+
+    def flush(*rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = runs(rows[0])[1]
+        rows = [x[np.repeat(size > 1, size)] for x in rows]
+        if not len(rows[0]):
+            return
+        name = np.arange(len(rows[0]))  # of a label in a key
+        if len(rows) > 3:
+            head, size = runs(rows[0])
+            name = np.unique(np.repeat(np.arange(len(head)), size) * len(name) + np.unique(rows[3], return_inverse=True)[1], return_inverse=True)[1]
+            several = np.repeat(np.maximum.reduceat(name, head) > np.minimum.reduceat(name, head), size)
+            name, rows = name[several], [x[several] for x in rows]
+            if not len(name):
+                return
+        head, size = runs(rows[0])
         for h, m in zip(head[size > WIDE].tolist(), size[size > WIDE].tolist(), strict=True):
             one = _Wide()
-            yield out(*one(nodes[h : h + m], prints[h : h + m]), True)
+            yield out(*one(*(x[h : h + m] for x in rows[1:])), True)
             yield out(*one.star(), True)
-        few = np.repeat((size > 1) & (size <= WIDE), size)
-        keys, nodes, prints = keys[few], nodes[few], prints[few]
+        few = np.repeat(size <= WIDE, size)
+        keys, nodes, prints, name = (x[few] for x in (*rows[:3], name))
         if not len(keys):
             return
-        a, b, cut = _pairs(keys, prints)
-        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        size = np.diff(np.append(head, len(keys)))
+        a, b, apart, cut = _pairs(keys, prints)
+        head, size = runs(keys)
         some = np.logical_or.reduceat(cut, head)
         cut = np.repeat(some, size)[a]
-        yield out(nodes[a[~cut]], nodes[b[~cut]], False)
-        stars = [_star(nodes[h : h + m], prints[h : h + m]) for h, m in zip(head[some & (size >= STAR)].tolist(), size[some & (size >= STAR)].tolist(), strict=True)]
-        yield out(*(np.concatenate(x) for x in zip((nodes[a[cut]], nodes[b[cut]]), *stars, strict=True)), True)
+        whole = ~cut & (name[a] != name[b])
+        yield out(nodes[a[whole]], nodes[b[whole]], False)
+        a, b, apart = a[cut], b[cut], apart[cut]
+        found = [(a, b)] + [_star(np.arange(h, h + m), prints[h : h + m]) for h, m in zip(head[some & (size >= STAR)].tolist(), size[some & (size >= STAR)].tolist(), strict=True)]
+        if len(rows) > 3:
+            stars = [np.concatenate(x) for x in zip(*found[1:], strict=True)] if found[1:] else [np.zeros(0, np.int64)] * 2
+            keep, more = _bridges(name[a], name[b], apart), _bridges(name[stars[0]], name[stars[1]], np.zeros(len(stars[0])))
+            found = [(a[keep], b[keep]), (stars[0][more], stars[1][more])]
+        yield out(*(nodes[np.concatenate(x)] for x in zip(*found, strict=True)), True)
 
     for batch in batches:
-        keys, nodes, prints = (np.asarray(batch.column(i)) for i in range(3))
-        prints = prints.view(np.uint64)
+        rows = [np.asarray(x) for x in batch.columns]
+        rows[2] = rows[2].view(np.uint64)
         if wide_key is not None:  # the key that fills whole batches goes on
-            same = int(np.searchsorted(keys, wide_key, "right"))
+            same = int(np.searchsorted(rows[0], wide_key, "right"))
             if same:
-                yield out(*wide(nodes[:same], prints[:same]), True)
-                keys, nodes, prints = keys[same:], nodes[same:], prints[same:]
-            if len(keys):
+                yield out(*wide(*(x[:same] for x in rows[1:])), True)
+                rows = [x[same:] for x in rows]
+            if len(rows[0]):
                 yield out(*wide.star(), True)
                 wide_key = None
-        if not len(keys):
+        if not len(rows[0]):
             continue
-        held.append((keys, nodes, prints))
-        n += len(keys)
+        held.append(tuple(rows))
+        n += len(rows[0])
         if n > HELD:
-            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            whole, held = [np.concatenate(x) for x in zip(*held, strict=True)], []
             cut = int(np.searchsorted(whole[0], whole[0][-1]))
             if cut:
                 yield from flush(*(x[:cut] for x in whole))
@@ -275,7 +320,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if wide_key is not None:
         yield out(*wide.star(), True)
     if n:
-        yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        whole, held = [np.concatenate(x) for x in zip(*held, strict=True)], []
+        yield from flush(*whole)
 
 
 def _sets(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -406,16 +452,27 @@ def groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHING
     marked = saved(with_columns(rows.select("n", "order", "text"), made, start).drop("text"), "marked")
     nodes = saved(marked.groupBy("digest").agg(F.min(F.struct("order", "n")).alias("least"), *(F.first(c).alias(c) for c in ("low", "high", "compared"))), "nodes")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, low, high, compared = (np.asarray(batch.column(i)) for i in range(4))
-            for i in range(0, len(node), 1024):
-                key, row = join_keys(low[i : i + 1024].view(np.uint64), high[i : i + 1024].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[i : i + 1024][row]), pa.array(compared[i : i + 1024][row])], names=["key", "node", "print"])
-
-    keyed = nodes.select(F.col("least.n").alias("node"), "low", "high", "compared").mapInArrow(keys, "key long, node long, print long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long, cut boolean")
-    pairs = saved(pairs.groupBy("a", "b").agg(F.max("cut").alias("cut")), "candidates")
+    def met(prints: DataFrame, first: bool) -> DataFrame:
+        names = ["key", "node", "print", "label"][: len(prints.columns) - 1]
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 1024):
+                    low, high, *others = (np.asarray(x)[i : i + 1024] for x in batch.columns)
+                    key, row = join_keys(low.view(np.uint64), high.view(np.uint64), first)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[row]) for x in others)], names=names)
+
+        keyed = prints.mapInArrow(keys, ", ".join(f"{x} long" for x in names))
+        return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long, cut boolean")
+
+    def once(pairs: DataFrame) -> DataFrame:
+        return saved(pairs.groupBy("a", "b").agg(F.max("cut").alias("cut")), "candidates")
+
+    prints = nodes.select("low", "high", F.col("least.n").alias("node"), "compared")
+    pairs = once(met(prints, True))
+    heaps = _roots(pairs.where("cut"))
+    labelled = prints.join(heaps, "node", "left").select(*prints.columns, F.coalesce("root", "node").alias("label"))
+    pairs = once(pairs.union(met(labelled, False)))
     sets = _sets(pairs, rows, shingle)
     linked = saved(_verified(pairs, sets, similarity), "links")
     roots = _roots(linked)

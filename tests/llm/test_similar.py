@@ -141,6 +141,52 @@ def test_no_candidate_is_lost_behind_nearer_ones_that_fail(spark, monkeypatch, l
     assert all(got[i] == got[j] for i, j in real) and all(want[i] == want[g] for i, g in enumerate(got))
 
 
+def test_copies_of_a_large_group_are_few_candidates(spark, monkeypatch):
+    """Rows much alike share most of their join keys; a pair of a heap isn't handed on again by each of them."""
+    counts = []
+
+    def counted(df, name, *more):
+        out = saved(df, name, *more)
+        counts.extend([out.count()] if name == "candidates" else [])
+        return out
+
+    monkeypatch.setattr(S, "saved", counted)
+    texts = star(np.random.default_rng(9), 500)
+    got = grouped(spark, texts)
+    assert max(counts) < 15 * len(texts)
+    assert got == brute(texts, 0.8)[0]
+
+
+@pytest.mark.parametrize("limits", [(8192, 1 << 19, 32), (3, 1 << 19, 32), (3, 40, 4)])
+def test_two_rounds_connect_what_one_does(monkeypatch, limits):
+    """Heaps and connected candidates are those of all keys at once, from fewer rows."""
+    for name, value in zip(("WIDE", "HELD", "STAR"), limits, strict=True):
+        monkeypatch.setattr(S, name, value)
+    rng = np.random.default_rng(13)
+    texts = [*star(rng, 150), *corpus(rng, 40, 6)]
+    low, high, compared = S.wide_prints(S.shingle_sets(pa.array(texts)))
+
+    def found(first, *label):
+        key, row = S.join_keys(low, high, first)
+        order, out = np.lexsort((row, key)), []
+        columns = [key, row, compared[row].view(np.int64), *(x[row] for x in label)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[o]) for x in columns], names=["key", "node", "print", "label"][: len(columns)]) for o in np.array_split(order, 60)]
+        for batch in S._candidates(iter(batches)):
+            out.append(np.stack([np.asarray(x.cast("int64")) for x in batch.columns]))
+        return np.concatenate(out, 1)
+
+    def joined(pairs):
+        return [S.forest(len(texts), *x[:2]).tolist() for x in (pairs, pairs[:, pairs[2] == 1])]
+
+    assert sorted(zip(*(np.concatenate(x) for x in zip(S.join_keys(low, high, True), S.join_keys(low, high, False), strict=True)), strict=True)) == sorted(zip(*S.join_keys(low, high), strict=True))
+    one, first = found(None), found(True)
+    both = np.concatenate([first, found(False, np.array(joined(first)[1]))], 1)
+    assert joined(both)[0] == joined(one)[0] and (both[0] != both[1]).all()
+    assert 2 * both.shape[1] < one.shape[1]
+    if limits[0] > 3:  # all pairs of a wide key count as of one with more
+        assert joined(both)[1] == joined(one)[1]
+
+
 @pytest.mark.parametrize("close", [0, 4])
 def test_wide_keys_connect_what_pairs_connect(monkeypatch, close):
     """Walks of a few bits a step, whose parts meet at any distance; against all pairs."""
