@@ -8,16 +8,19 @@ time are read line by line, so their files can be split.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import pin_utc
 
+#: Samples in one Arrow batch of a reader: short recordings share one, as each has a cost of its own.
+BLOCK = 1 << 17
 SAMPLE_SCHEMA = "subject_id string, channel string, us long, value double, missing boolean"
 #: Modes of count files and how many numbers stand for one epoch. Fixed values.
 COUNT_MODES = {0: 1, 1: 2, 3: 2, 4: 2, 5: 3}
@@ -35,10 +38,39 @@ def as_us(t: datetime) -> int:
     return round((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
 
 
-def frame(subject: str, channel: str, us, values, missing=None) -> pd.DataFrame:
+class Block(NamedTuple):
+    """Samples of one subject and channel."""
+
+    subject: str
+    channel: str
+    us: np.ndarray
+    values: np.ndarray
+    missing: np.ndarray
+
+
+def frame(subject: str, channel: str, us, values, missing=None) -> Block:
     values = np.asarray(values, float)
-    gone = np.isnan(values) if missing is None else np.asarray(missing, bool)
-    return pd.DataFrame({"subject_id": subject, "channel": channel, "us": np.asarray(us, np.int64), "value": values, "missing": gone})
+    return Block(subject, channel, np.asarray(us, np.int64), values, np.isnan(values) if missing is None else np.asarray(missing, bool))
+
+
+def _joined(blocks: list[Block]) -> pa.RecordBatch:
+    sizes = [len(x.us) for x in blocks]
+    spread = pa.array(np.repeat(np.arange(len(blocks)), sizes))
+    names = [pa.array(x, pa.string()).take(spread) for x in ([b.subject for b in blocks], [b.channel for b in blocks])]
+    return pa.RecordBatch.from_arrays([*names, *(pa.array(np.concatenate(x)) for x in list(zip(*blocks, strict=True))[2:])], ["subject_id", "channel", "us", "value", "missing"])
+
+
+def gathered(blocks: Iterable[Block]) -> Iterator[pa.RecordBatch]:
+    """Blocks of samples in batches of BLOCK samples or one block; a recording's own blocks are short where it is."""
+    held, size = [], 0
+    for block in blocks:
+        if held and size + len(block.us) > BLOCK:
+            yield _joined(held)
+            held, size = [], 0
+        held.append(block)
+        size += len(block.us)
+    if held:
+        yield _joined(held)
 
 
 def finished(rows: DataFrame) -> DataFrame:
@@ -50,16 +82,19 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), STEM, 1).alias("name"), "value")
 
 
-def parsed(files: DataFrame, parse: Callable[[str, str], Iterator[pd.DataFrame]]) -> DataFrame:
+def parsed(files: DataFrame, parse: Callable[[str, str], Iterator[Block]]) -> DataFrame:
     """Samples that parse(subject, text) gives for each recording (name, value); a recording is one task's work."""
+    return read_whole(files.select(F.col("name").cast("string"), "value"), parse)
+
+
+def read_whole(files: DataFrame, read: Callable[..., Iterator[Block]]) -> DataFrame:
+    """Samples that read(subject, whole) gives for each recording, a row of a name and the whole of it."""
     pin_utc(files.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, text in zip(batch["name"], batch["value"], strict=True):
-                yield from parse(name, text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(block for batch in batches for name, whole in zip(*batch.columns, strict=True) for block in read(name.as_py(), whole.as_py()))
 
-    return finished(files.select("name", "value").mapInPandas(run, SAMPLE_SCHEMA))
+    return finished(files.mapInArrow(run, SAMPLE_SCHEMA))
 
 
 def _clock(text: str) -> timedelta:
@@ -77,7 +112,7 @@ def actigraph_header(lines: list[str], date_format: str = "%d/%m/%Y") -> dict:
     }
 
 
-def parse_actigraph(subject: str, text: str, date_format: str = "%d/%m/%Y") -> Iterator[pd.DataFrame]:
+def parse_actigraph(subject: str, text: str, date_format: str = "%d/%m/%Y") -> Iterator[Block]:
     """Counts of a .dat file, one channel AG_Counts: every second or third number by mode, without sign, up to an empty line."""
     lines = text.splitlines()
     head = actigraph_header(lines[:10], date_format)
@@ -110,7 +145,7 @@ def actiheart_header(lines: list[str]) -> dict:
     return field | {"start": start, "epoch": epoch, "data_start": first, "trimmed": datetime.strptime(trimmed, "%Y-%m-%d %H:%M") if trimmed else None}
 
 
-def parse_actiheart(subject: str, text: str) -> Iterator[pd.DataFrame]:
+def parse_actiheart(subject: str, text: str) -> Iterator[Block]:
     """Chest activity and heart rate; a heart rate of 0 or less is missing. Rows up to a `Start trimmed to` time are left out."""
     lines = text.splitlines()
     head = actiheart_header(lines)
@@ -207,14 +242,14 @@ def xlo_header(lines: list[str]) -> dict:
     return {"start": datetime.strptime(lines[7].split()[1], "%d/%m/%Y"), "height": float(height.split()[0]), "weight": float(weight.split()[0])}
 
 
-def parse_xlo(subject: str, text: str) -> Iterator[pd.DataFrame]:
+def parse_xlo(subject: str, text: str) -> Iterator[Block]:
     """Cardio-pulmonary variables of the tab-separated rows that begin with an empty value; columns have fixed places.
 
     Times are minutes and seconds from the start of the day; empty values are 0; oxygen and carbon dioxide are per kg.
     """
     lines = text.splitlines()
     head = xlo_header(lines[:XLO_HEADER])
-    rows = [x.split("\t") for x in lines[XLO_HEADER:] if x.split("\t")[0] == XLO_EMPTY]
+    rows = [x for x in (line.split("\t") for line in lines[XLO_HEADER:]) if x[0] == XLO_EMPTY]
     clock = [x[XLO_COLUMNS.index("Time")].strip().split(":") for x in rows]
     us = as_us(head["start"]) + np.array([(int(m) * 60 + int(s)) * 1_000_000 for m, s, *_ in clock], np.int64)
     for i, name in list(enumerate(XLO_COLUMNS))[XLO_SKIPPED:]:

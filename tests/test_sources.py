@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideline import sources
-from strideline.sources import binary, store
+from strideline.sources import binary, store, text
 
 START = datetime(2020, 3, 1, 23, 59, 30)
 
@@ -156,6 +156,17 @@ def test_bout_files_have_no_folder_for_each_subject(spark, tmp_path):
         assert sorted(tuple(r) for r in store.read_bouts(spark, f"{tmp_path}/{by_subject}").collect()) == rows
 
 
+def test_short_recordings_share_arrow_batches():
+    head = ["Name: a", "b", "c", "Height: 180 cm Weight: 80 kg", "d", "e", "f", "Date: 01/03/2020 Time: 10:00AM", *["g"] * 7]
+    recording = "\n".join([*head, *("\t".join(["   -    ", "p", f"0:{s}", *["x"] * 5, *map(str, range(24))]) for s in range(3))])
+    got = list(text.gathered(block for i in range(200) for block in text.parse_xlo(f"s{i}", recording)))
+    assert len(got) == 1 and got[0].num_rows == 200 * 24 * 3
+    assert got[0].slice(3 * (24 * 7 + 5) + 1, 1).to_pylist() == [{"subject_id": "s7", "channel": "V'E", "us": text.as_us(datetime(2020, 3, 1, 0, 0, 1)), "value": 5.0, "missing": False}]
+    whole = text.frame("s", "a", np.arange(text.BLOCK), np.full(text.BLOCK, np.nan))
+    assert [(x.num_rows, x["missing"].to_pylist()[0]) for x in text.gathered([whole, whole, text.frame("s", "b", [1], [2])])] == [(text.BLOCK, True), (text.BLOCK, True), (1, False)]
+    assert not list(text.gathered([]))
+
+
 def test_page_times_are_spread_evenly():
     got = binary.spaced(np.array([0.0, 1000.0]), np.array([0, 4]), np.arange(6), 250)
     assert got.tolist() == [0, 250, 500, 750, 1000, 1250]
