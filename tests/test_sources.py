@@ -208,6 +208,27 @@ def test_axivity_pages_in_sequence_give_the_local_frequency():
     assert binary.axivity_marks(pages, clock).tolist() == pytest.approx(want, abs=1)
 
 
+def test_axivity_blocks_of_plain_and_packed_pages():
+    rng = np.random.default_rng(5)
+    pages = np.zeros(60, binary.PAGE)
+    pages["tag"], pages["length"], pages["rate"], pages["sequence"] = b"AX", 508, 0x4A, np.arange(60)
+    pages["stamp"] = 24 << 26 | 1 << 22 | 1 << 17 | np.arange(60)
+    pages["kind"], pages["count"], pages["data"] = rng.choice([0x30, 0x32], 60), rng.integers(0, 81, 60), rng.integers(0, 256, (60, 480))
+    want = []
+    for p in pages:
+        for j in range(int(p["count"])):
+            if p["kind"] == 0x32:
+                want.append([v / 256 for v in struct.unpack("<3h", p["data"][6 * j : 6 * j + 6].tobytes())])
+            else:
+                (word,) = struct.unpack("<I", p["data"][4 * j : 4 * j + 4].tobytes())
+                want.append([(((word >> 10 * k & 1023) ^ 512) - 512) * 2 ** (word >> 30) / 256 for k in range(3)])
+    for at in (slice(None), pages["kind"] == 0x30, slice(3, 4)):
+        assert binary._axivity_block(pages[at]).shape == (int(pages[at]["count"].sum()), 3)
+    assert binary._axivity_block(pages).tolist() == want
+    got = list(text.gathered(b for i in range(100) for b in binary.decode_axivity(f"s{i}", pages[:5].tobytes())))
+    assert len(got) == 1 and got[0].num_rows == 100 * (3 * int(pages[:5]["count"].sum()) + 10)
+
+
 def test_headers_and_generated_recordings(spark):
     head = "\n".join(["Data File", "Serial Number: X1", "Start Time 23:59:30", "Start Date 01/03/2020", "Epoch Period (hh:mm:ss) 00:00:10", "Download Time 10:00:00", "Download Date 02/03/2020", "M", "Mode = 1", "-"])
     got = sources.headers(spark.createDataFrame([("a", head)], "name string, value string"), "actigraph").first()
