@@ -76,7 +76,12 @@ def load_jobs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_guarded(rows: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """fn on each job's rows; a job that fails gives one row with its key and error, and doesn't stop the others."""
+    """fn on each job's rows; a job that fails gives one row with its key and error, and doesn't stop the others.
+
+    Jobs are dealt to a fixed number of tasks: their rows say nothing about their work, so few bytes mustn't make one task.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def guarded(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,7 +90,7 @@ def run_guarded(rows: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataF
         except Exception:
             return pd.DataFrame([{n: pdf[n].iloc[0] if n == key else None for n in names} | {"error": traceback.format_exc(limit=1)}])
 
-    return rows.groupBy(key).applyInPandas(guarded, f"{schema}, error string")
+    return rows.repartition(tasks, key).groupBy(key).applyInPandas(guarded, f"{schema}, error string")
 
 
 def consolidate(spark: SparkSession, pattern: str) -> DataFrame:

@@ -294,3 +294,17 @@ def test_calibrated_samples_are_marked(spark, tmp_path):
     assert inference.is_calibrated(spark.read.parquet(f"{tmp_path}/xyz"))
     with pytest.raises(ValueError, match="calibrated already"):
         inference.auto_calibrated(done)
+
+
+def test_jobs_are_dealt_to_all_tasks(spark):
+    def where(pdf):
+        from pyspark import TaskContext
+
+        if pdf["job"].iloc[0] == "7":
+            raise ValueError("no such recording")
+        return pdf.assign(task=TaskContext.get().partitionId(), n=len(pdf))[["job", "task", "n"]].head(1)
+
+    jobs = spark.range(80).select((F.col("id") % 40).cast("string").alias("job"))
+    got = batch.run_guarded(jobs, "job", where, "job string, task long, n long").collect()
+    assert len(got) == 40 and {r.n for r in got if r.error is None} == {2} and [r.job for r in got if r.error] == ["7"]
+    assert len({r.task for r in got if r.error is None}) == 4
